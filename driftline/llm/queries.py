@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline import scratch
-from driftline.llm import bpe_automaton, mixing, prose_model
+from driftline.llm import bpe_automaton, mixing, pii_bootstrap, prose_model
 from driftline.sources.tables import read
 
 
+def _pii(spark: SparkSession, d: str):
+    texts = pii_bootstrap.texts_of(spark, lambda t: read(spark, d, t))
+    return texts, pii_bootstrap.learn(texts, read(spark, d, "given_names"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    texts, reader = _pii(spark, d)
+    return pii_bootstrap.find(texts, reader, ["tab", "row_id"])
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts, reader = _pii(spark, d)
+    return pii_bootstrap.redact(texts, reader)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe_automaton.encode(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -44,7 +59,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("flagged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLE = {
     "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
