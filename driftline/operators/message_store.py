@@ -18,13 +18,16 @@ message of its own; an empty table gives no rows; extra columns are not stored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import scratch
 
 BUCKETS = 64
-STORED = "first_at timestamp, delivery_id bigint, tenant_id string, event_id binary, other_id string, occurred_at timestamp, batch_id bigint, copies bigint"
+COLUMNS = ["tenant_id", "event_id", "other_id", "lone", "first_at", "delivery_id", "occurred_at", "batch_id", "copies", "k"]
+KEY = ["k", "tenant_id", "event_id", "other_id", "lone"]
 
 
 def canonical_uuid(raw: Column) -> Column:
@@ -37,79 +40,71 @@ def canonical_uuid(raw: Column) -> Column:
 
 
 class MessageStore:
-    """Runs under ``path``/runs, as a bucketed table; the compacted state is read, not kept twice."""
+    """One table under ``path``, partitioned by run and bucketed by ``k``, the hash of the identifier."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.path = path or scratch.new_path(spark, "messages")
-        self.table = "driftline_" + self.path.rstrip("/").rpartition("/")[2].replace("-", "_")
+        self.table = "driftline_" + _safe(self.path.rstrip("/").rpartition("/")[2])
         self.runs: set[str] = set()
 
     def upsert(self, deliveries: DataFrame, run: str) -> None:
         """Add the deliveries of one batch as a sorted run; a batch written again replaces itself."""
-        key = F.xxhash64("tenant_id", "id_text", "lone")
         rows = (
             deliveries.select("tenant_id", canonical_uuid(F.col("event_id")).alias("id_text"), "delivery_id", "occurred_at",
                               "batch_id", "received_at")
             .withColumn("lone", F.when(F.col("tenant_id").isNull() | F.col("id_text").isNull(), F.col("delivery_id")))
             .withColumn("uuid", F.col("id_text").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"))
-            .withColumn("k", key)
+            .withColumn("k", F.xxhash64("tenant_id", "id_text", "lone"))
             .withColumn("event_id", F.when(F.col("uuid"), F.unhex(F.regexp_replace("id_text", "-", ""))))
             .withColumn("other_id", F.when(~F.col("uuid"), F.col("id_text")))
+            .withColumn("first", F.struct(F.col("received_at").alias("first_at"), "delivery_id", "occurred_at", "batch_id"))
+            .withColumn("copies", F.lit(1).cast("long"))
         )
-        run_rows = (
-            rows.groupBy("k", "tenant_id", "event_id", "other_id", "lone")
-            .agg(F.min(F.struct("received_at", "delivery_id", "occurred_at", "batch_id")).alias("first"), F.count("*").alias("copies"))
-            .select("k", "tenant_id", "event_id", "other_id", "lone", F.col("first.received_at").alias("first_at"),
-                    "first.delivery_id", "first.occurred_at", "first.batch_id", "copies")
-        )
-        name = f"{self.table}_{_safe(run)}"
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        scratch.remove(self.spark, f"{self.path}/{_safe(run)}")
-        (run_rows.repartition(self.buckets, "k").write.mode("overwrite").option("path", f"{self.path}/{_safe(run)}")
-         .bucketBy(self.buckets, "k").sortBy("k").saveAsTable(name))
-        self.runs.add(_safe(run))
+        self._write(_merged(rows), _safe(run))
+
+    def _write(self, rows: DataFrame, run: str) -> None:
+        rows = rows.repartition(self.buckets, "k").select(*COLUMNS, F.lit(run).alias("run"))
+        if self.spark.catalog.tableExists(self.table):
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (run = '{run}')")
+            scratch.remove(self.spark, f"{self.path}/run={run}")
+            rows.write.insertInto(self.table)
+        else:
+            rows.write.option("path", self.path).partitionBy("run").bucketBy(self.buckets, "k").sortBy("k").saveAsTable(self.table)
+        self.runs.add(run)
+
+    def _stored(self) -> DataFrame:
+        """All messages, merged bucket by bucket: the buckets of all runs line up, so nothing is shuffled."""
+        rows = self.spark.table(self.table).where(F.col("run").isin(sorted(self.runs)))
+        return _merged(rows.withColumn("first", F.struct("first_at", "delivery_id", "occurred_at", "batch_id")))
 
     def messages(self) -> DataFrame:
-        """The merge of all runs: one row per message. Each bucket is merged where it lies."""
+        """One row per message: tenant_id, event_id, delivery_id, occurred_at, batch_id, first_at, copies."""
         if not self.runs:
             return self.spark.createDataFrame([], "tenant_id string, event_id string, delivery_id bigint, occurred_at timestamp, "
                                                   "batch_id bigint, first_at timestamp, copies bigint")
-        runs = [self.spark.table(f"{self.table}_{r}") for r in sorted(self.runs)]
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        merged = rows.groupBy("k", "tenant_id", "event_id", "other_id", "lone").agg(
-            F.min(F.struct("first_at", "delivery_id", "occurred_at", "batch_id")).alias("first"), F.sum("copies").alias("copies"))
         digits = F.lower(F.hex("event_id"))
-        event_id = F.coalesce(F.concat_ws("-", *[F.when(F.col("event_id").isNotNull(), F.substring(digits, a, n)) for a, n in
-                                                 ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(""))
-        return merged.select("tenant_id", F.when(F.col("event_id").isNotNull(), event_id).otherwise(F.col("other_id")).alias("event_id"),
-                             "first.delivery_id", "first.occurred_at", "first.batch_id", "first.first_at", "copies")
+        text = F.concat_ws("-", *[F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+        return self._stored().select("tenant_id", F.when(F.col("event_id").isNotNull(), text).otherwise(F.col("other_id")).alias("event_id"),
+                                     "delivery_id", "occurred_at", "batch_id", "first_at", "copies")
 
-    def compact(self, run: str = "compacted") -> None:
+    def compact(self) -> None:
         """Merge all runs to one sorted run; batches merged in are no longer replaceable one by one."""
-        old = sorted(self.runs)
-        rows = [self.spark.table(f"{self.table}_{r}") for r in old]
-        if not rows:
+        old = set(self.runs)
+        if not old:
             return
-        all_rows = rows[0]
-        for r in rows[1:]:
-            all_rows = all_rows.unionByName(r)
-        merged = (
-            all_rows.groupBy("k", "tenant_id", "event_id", "other_id", "lone")
-            .agg(F.min(F.struct("first_at", "delivery_id", "occurred_at", "batch_id")).alias("first"), F.sum("copies").alias("copies"))
-            .select("k", "tenant_id", "event_id", "other_id", "lone", "first.first_at", "first.delivery_id", "first.occurred_at",
-                    "first.batch_id", "copies")
-        )
-        fresh = f"{_safe(run)}_{len(old)}"
-        (merged.repartition(self.buckets, "k").write.mode("overwrite").option("path", f"{self.path}/{fresh}")
-         .bucketBy(self.buckets, "k").sortBy("k").saveAsTable(f"{self.table}_{fresh}"))
+        run = f"compacted_{len(old)}_{uuid.uuid4().hex[:8]}"
+        self._write(self._stored(), run)
         for r in old:
-            if r != fresh:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self.table}_{r}")
-                scratch.remove(self.spark, f"{self.path}/{r}")
-        self.runs = {fresh}
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (run = '{r}')")
+            scratch.remove(self.spark, f"{self.path}/run={r}")
+        self.runs = {run}
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Equal identifiers to one row: the first received, and the number of copies. Combined before any shuffle."""
+    got = rows.groupBy(*KEY).agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
+    return got.select(*KEY, "first.first_at", "first.delivery_id", "first.occurred_at", "first.batch_id", "copies")
 
 
 def _safe(run: str) -> str:
