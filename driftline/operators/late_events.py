@@ -15,7 +15,7 @@ accumulate the cells of an event period across arrivals, so every revision it ev
 Defined results: a null occurred_at is never late, moves no watermark and belongs to no period, so
 it is in no cell; a null received_at sorts before all; null event types and tenants are groups of
 their own; a null or NaN value counts as a row and adds 0; ties in received_at go by delivery_id;
-equal rows each count; an empty table gives no rows. Each delivery counts (see message_store for
+equal rows each count; an empty table gives no rows; columns named watermark and fate are replaced, other extra columns pass through. Each delivery counts (see message_store for
 collapsing deliveries first).
 """
 
@@ -31,9 +31,13 @@ HOT_PART = 10_000
 BLOCK = 65_536
 
 
-def classify(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Events with ``watermark`` (before the row) and ``fate``: on_time, corrects or dropped."""
+def classify(events: DataFrame, hot_rows: int = HOT_ROWS, floor: str | None = None) -> DataFrame:
+    """Events with ``watermark`` (before the row) and ``fate``: on_time, corrects or dropped.
+
+    ``floor`` (yyyy-mm-dd hh:mm:ss.ffffff, UTC) is the watermark reached before all these rows, by earlier batches.
+    """
     spark = events.sparkSession
+    start = f"CAST('{floor}' AS TIMESTAMP)" if floor else "CAST(NULL AS TIMESTAMP)"
     return spark.sql(f"""
         WITH minutes AS (
             SELECT date_trunc('MINUTE', received_at) AS slot_minute, count(*) AS n FROM {{events}} GROUP BY 1
@@ -42,31 +46,31 @@ def classify(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             WHERE n > {hot_rows} AND n > (SELECT coalesce(sum(n), 0) FROM minutes) / {HOT_PART}
         ), slotted AS (
             SELECT e.*,
-                   CASE WHEN h.hot_minute IS NULL THEN date_trunc('MINUTE', e.received_at) ELSE e.received_at END AS slot,
-                   CASE WHEN h.hot_minute IS NULL THEN 0L ELSE e.delivery_id div {BLOCK} END AS block
+                   CASE WHEN h.hot_minute IS NULL THEN date_trunc('MINUTE', e.received_at) ELSE e.received_at END AS __slot,
+                   CASE WHEN h.hot_minute IS NULL THEN 0L ELSE e.delivery_id div {BLOCK} END AS __block
             FROM {{events}} e LEFT JOIN (SELECT /*+ BROADCAST(hot) */ hot_minute FROM hot) h
                  ON date_trunc('MINUTE', e.received_at) = h.hot_minute
         ), slots AS (
-            SELECT slot, block, to_date(slot) AS day, max(occurred_at) AS top FROM slotted GROUP BY slot, block
+            SELECT __slot AS slot, __block AS block, to_date(__slot) AS slot_day, max(occurred_at) AS top FROM slotted GROUP BY 1, 2, 3
         ), days AS (
-            SELECT day, max(max(top)) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_day
-            FROM slots GROUP BY day
+            SELECT slot_day, max(max(top)) OVER (ORDER BY slot_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_day
+            FROM slots GROUP BY slot_day
         ), before AS (
             SELECT s.slot, s.block,
-                   greatest(d.before_day, max(s.top) OVER (PARTITION BY s.day ORDER BY s.slot, s.block
+                   greatest(d.before_day, max(s.top) OVER (PARTITION BY s.slot_day ORDER BY s.slot, s.block
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before_slot
-            FROM slots s LEFT JOIN days d ON s.day <=> d.day
+            FROM slots s LEFT JOIN days d ON s.slot_day <=> d.slot_day
         ), marked AS (
             SELECT e.*,
-                   greatest(b.before_slot, max(e.occurred_at) OVER (PARTITION BY e.slot, e.block
+                   greatest({start}, b.before_slot, max(e.occurred_at) OVER (PARTITION BY e.__slot, e.__block
                             ORDER BY e.received_at, e.delivery_id
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS watermark
-            FROM slotted e LEFT JOIN before b ON e.slot <=> b.slot AND e.block <=> b.block
+            FROM slotted e LEFT JOIN before b ON e.__slot <=> b.slot AND e.__block <=> b.block
         )
-        SELECT * EXCEPT (slot, block),
+        SELECT * EXCEPT (__slot, __block),
                CASE WHEN occurred_at < watermark - {CUTOFF} THEN 'dropped'
                     WHEN occurred_at < watermark - {LATENESS} THEN 'corrects' ELSE 'on_time' END AS fate
-        FROM marked""", events=events)
+        FROM marked""", events=events.drop("watermark", "fate"))
 
 
 def late_rows(classified: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import scalar as S
@@ -516,3 +516,23 @@ ORACLE = {
         sha256('GET' || chr(10) || '/x' || chr(10) || payload) AS print, false AS pii, false AS masked,
         to_timestamp(epoch_us(occurred_at) // 1000000 - ((epoch_us(occurred_at) // 1000000 - {(-62135596800) % 37}) % 37)) AT TIME ZONE 'UTC' AS bucket_37s FROM {_E}""",
 }
+
+
+def stream_window_1h(spark, d):
+    """The hour windows reached by streaming the arrivals in four files, batch by batch."""
+    from driftline import scratch
+    from driftline.streaming import windows as streaming
+    root = scratch.new_path(spark, "stream")
+    a = fixtures.arrivals(spark, d)
+    cuts = a.agg(F.percentile_approx(F.unix_micros("received_at"), [0.25, 0.5, 0.75]).alias("c")).first()["c"]
+    us = F.unix_micros("received_at")
+    part = F.when(us <= cuts[0], 0).when(us <= cuts[1], 1).when(us <= cuts[2], 2).otherwise(3)
+    for i in range(4):
+        a.where(part == i).coalesce(1).write.parquet(f"{root}/in/{i}")
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    ws = streaming.run(spark, stream, f"{root}/out", (3600,))
+    return ws.state(3600).where("NOT is_late").select("tenant_id", "event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_count", "sum_value")
+
+
+QUERIES["stream_window_1h"] = stream_window_1h
+ORACLE["stream_window_1h"] = _window(3600)

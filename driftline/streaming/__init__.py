@@ -1 +1 @@
-"""driftline.streaming"""
+"""Structured Streaming pipelines."""
