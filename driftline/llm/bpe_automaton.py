@@ -56,19 +56,20 @@ def read_merges(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]
 
 class Automaton:
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        made = {bytes([b]) for b in range(256)} | {a + b for a, b in merges}
         self.ids = ids
         self.label = {i: t for t, i in ids.items()}
         #: line[a][b]: when b was forbidden after a. born[c]: when c was made; parts[c]: of what.
         self.line: dict[int, dict[int, int]] = {}
         self.born: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
+        #: Tokens that some arc carries; one whose parts never meet has none.
+        self.arcs = {ids[bytes([b])] for b in range(256) if bytes([b]) in ids}
         for when, (a, b) in enumerate(merges):
             self._gadget(ids[a], ids[b], ids[a + b], when)
         #: Prefix tree of arc labels: prefix -> id, or -1 where no token ends.
         self.tree: dict[bytes, int] = {}
         for t, i in ids.items():
-            if t in made:
+            if i in self.arcs:
                 for n in range(1, len(t)):
                     self.tree.setdefault(t[:n], -1)
                 self.tree[t] = i
@@ -77,8 +78,11 @@ class Automaton:
         self.split = regex.compile(SPLIT)
 
     def _gadget(self, a: int, b: int, ab: int, when: int) -> None:
+        if a not in self.arcs or b not in self.arcs or not self._has_arc(a, b):
+            return
         self.line.setdefault(a, {})[b] = when
-        if ab not in self.born:
+        if ab not in self.arcs:
+            self.arcs.add(ab)
             self.born[ab], self.parts[ab] = when, (a, b)
 
     def allows(self, last: int, arc: int) -> bool:
