@@ -177,10 +177,14 @@ def merge_maps(*maps) -> Column:
     out = _c(maps[0])
     for m in maps[1:]:
         m = _c(m)
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
+        out = F.map_concat(_without_keys_of(out, m), m)
     return out
 
 
+def _without_keys_of(a: Column, b: Column) -> Column:
+    return F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
+
+
 def faster_ratio(a, b) -> Column:
     """Ratio of two durations, null when the divisor is 0."""
     return F.try_divide(_c(a), _c(b))

@@ -368,15 +368,14 @@ def test_generator_is_repeatable(spark):
     assert rows(a) == rows(b)
 
 
-def test_scratch_uses_the_shared_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        t = scratch.table(spark.range(3), "x")
-        assert t._driftline_path.startswith(f"file://{tmp_path}/shared/")
-        scratch.drop(t)
-        assert not scratch.exists(spark, t._driftline_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_scratch_uses_the_shared_folder(spark):
+    from types import SimpleNamespace as N
+    cluster = N(conf=N(get=lambda k, default: "hdfs://shared/ck/" if k == "spark.checkpoint.dir" else default), sparkContext=N(applicationId="app-1"))
+    assert scratch.root(cluster) == "hdfs://shared/ck/driftline-app-1"
+    t = scratch.table(spark.range(3), "x")
+    assert t.count() == 3
+    scratch.drop(t)
+    assert not scratch.exists(spark, t._driftline_path)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
