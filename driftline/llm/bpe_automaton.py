@@ -186,7 +186,7 @@ def _mapped(df: DataFrame, text: str, out: str, path: str, keep: list[str] | Non
             # A few hundred texts at a time, so that long ones don't pile up.
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [a.encode(t.as_py()) for t in texts.slice(start, 256)]
+                ids = [a.encode(t) for t in texts.slice(start, 256).to_pylist()]
                 sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
                 if counts_only:
                     col = pa.array(sizes)
