@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline import scratch
+from driftline.operators.joins import lookup_join
 
 
 def running_max(df: DataFrame, order: str, value: str, out: str, before: bool = True, key: list[str] | None = None) -> DataFrame:
@@ -45,10 +46,15 @@ def fencing(writes: DataFrame, order: str = "event_id", token: str = "token", ke
 
 def reservations(requests: DataFrame) -> DataFrame:
     """Per idempotency key (ns_key, seq, fingerprint): the first request wins; later ones are replays of it if their
-    fingerprint is the same, else conflicts. (ns_key, winner_id, seq, outcome)."""
-    w = Window.partitionBy("ns_key").orderBy("seq")
-    got = requests.withColumn("winner_id", F.first("seq").over(w)).withColumn("print", F.first("fingerprint").over(w))
-    return got.withColumn("outcome", F.when(F.col("seq") == F.col("winner_id"), "reserved").when(F.col("fingerprint") == F.col("print"), "replay").otherwise("reused")).drop("print")
+    fingerprint is the same, else conflicts. (ns_key, winner_id, seq, outcome).
+
+    The first of each key is an aggregate; requests find it by a join that spreads a hot key.
+    """
+    first = requests.groupBy("ns_key").agg(F.min(F.struct("seq", "fingerprint")).alias("f")).select(
+        "ns_key", F.col("f.seq").alias("winner_id"), F.col("f.fingerprint").alias("print"))
+    got = lookup_join(requests, scratch.table(first, "reservations"), ["ns_key"], salt_by="seq")
+    return got.withColumn("outcome", F.when(F.col("seq") == F.col("winner_id"), "reserved").when(
+        F.col("fingerprint").eqNullSafe(F.col("print")), "replay").otherwise("reused")).drop("print")
 
 
 def expired(keys: DataFrame, now, completed: str = "INTERVAL 24 HOURS", in_flight: str = "INTERVAL 5 MINUTES") -> DataFrame:

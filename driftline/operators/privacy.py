@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline import scratch
@@ -86,12 +86,12 @@ def export_summary(events: DataFrame, tenant: str) -> DataFrame:
 def consent(changes: DataFrame) -> DataFrame:
     """Current consent from a log of (tenant_id, purpose, action, seq): state 1 granted, 2 revoked.
 
-    A revoke before any grant does nothing; without a row the state is 0 (see :func:`consent_state`).
+    A revoke before any grant does nothing; without a row the state is 0 (see :func:`consent_state`). Once there is
+    a grant, the last action decides: a revoke that comes last comes after it.
     """
-    w = Window.partitionBy("tenant_id", "purpose")
-    first = changes.withColumn("first", F.min(F.when(F.col("action") == "grant", F.col("seq"))).over(w)).where("seq >= first")
-    last = first.groupBy("tenant_id", "purpose").agg(F.max_by("action", "seq").alias("action"))
-    return last.select("tenant_id", "purpose", F.when(F.col("action") == "grant", 1).otherwise(2).alias("state"))
+    last = changes.groupBy("tenant_id", "purpose").agg(
+        F.min(F.when(F.col("action") == "grant", F.col("seq"))).alias("granted"), F.max(F.struct("seq", "action")).alias("last"))
+    return last.where("granted IS NOT NULL").select("tenant_id", "purpose", F.when(F.col("last.action") == "grant", 1).otherwise(2).alias("state"))
 
 
 def consent_state(keys: DataFrame, current: DataFrame) -> DataFrame:

@@ -99,12 +99,10 @@ def thresholds(metrics: DataFrame, limits: dict[str, tuple[float, float]]) -> Da
 def summary(timings: DataFrame) -> DataFrame:
     """(metric, min, median, max); the median of an even number is the upper one.
 
-    The rank of the median is found by the exact percentile operator, so no group is gathered.
+    The upper median is the negated lower median of the negated values, which the exact percentile
+    operator finds without gathering a metric's values.
     """
-    from driftline.operators import ranks
-    from driftline.functions.ordered import with_code
-    counted = with_code(timings.groupBy("metric", "value").agg(F.count("*").alias("n")), "value", "code")
-    w = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total = counted.groupBy("metric").agg(F.sum("n").alias("total"), F.min("value").alias("min"), F.max("value").alias("max"))
-    at = counted.withColumn("cum", F.sum("n").over(w)).join(F.broadcast(total), "metric").where("cum > total div 2 AND cum - n <= total div 2")
-    return at.select("metric", "min", F.col("value").alias("median"), "max")
+    from driftline.operators import percentiles
+    low = percentiles.percentiles(percentiles.partial(timings.select("metric", (-F.col("value")).alias("value")), ["metric"], "value"), ["metric"], [500])
+    ends = timings.groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    return ends.join(low, "metric").select("metric", "min", (-F.col("p50")).alias("median"), "max")

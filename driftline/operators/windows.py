@@ -7,7 +7,7 @@ found in arrival order without one sorted task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.ordered import exact_sum
@@ -36,10 +36,15 @@ def late_bucket(marked: DataFrame, seconds: int) -> DataFrame:
 
 
 def first_deliveries(marked: DataFrame, seconds: int) -> DataFrame:
-    """Within a window's bucket (the late bucket is one) the first delivery of each event id."""
+    """Within a window's bucket (the late bucket is one) the first delivery of each event id.
+
+    An aggregate, so that copies collapse before the shuffle, however many there are of one id.
+    """
+    key = ["tenant_id", "event_type", "event_id"]
     bucket = F.when(~F.col("is_late"), truncate_to("occurred_at", seconds))
-    w = Window.partitionBy("tenant_id", "event_type", bucket, "event_id").orderBy("received_at", "delivery_id")
-    return marked.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    rest = [c for c in marked.columns if c not in (*key, "received_at", "delivery_id")]
+    got = marked.groupBy(*key, bucket.alias("__bucket")).agg(F.min(F.struct("received_at", "delivery_id", *rest)).alias("__r"))
+    return got.select(*[F.col(c) if c in key else F.col("__r")[c].alias(c) for c in marked.columns])
 
 
 def is_closed(window_start, seconds: int, watermark, lateness: int = LATENESS):
