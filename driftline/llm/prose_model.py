@@ -67,6 +67,10 @@ PHRASE_TIMES = 6
 MODEL_ROWS = 2_000_000
 
 
+SCRIPTS = {"kana", "kata", "han"}
+CLASS = {shape: [f"{shape}{i}" for i in range(RUN + 1)] for shape in ("word", "Title", "UPPER")}
+
+
 def units(text: str) -> Iterator[str]:
     """Sentences, lines and links; a caption beside a link belongs to it."""
     text = NEUTRAL.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
@@ -84,11 +88,11 @@ def units(text: str) -> Iterator[str]:
                     yield u + " " + CAPTION
 
 
-def unit_classes(unit: str) -> tuple[list[str], int, int]:
+def unit_classes(unit: str, said: list[str] | None = None) -> tuple[list[str], int, int]:
     """Classes of a line or sentence, how many words it has, and how many of them are function words.
 
     A content word's class has its place in the run of content words it belongs to: runs are short
-    in prose and endless in lists of keywords.
+    in prose and endless in lists of keywords. The words themselves, in lower case, are added to ``said``.
     """
     out, words, functional, run = [], 0, 0, 0
     for m in TOKEN.finditer(unit):
@@ -96,25 +100,29 @@ def unit_classes(unit: str) -> tuple[list[str], int, int]:
         if kind == "word":
             words += 1
             low = text.lower()
+            if said is not None:
+                said.append(low)
             cls = WORDS.get(low)
-            head, mark, tail = low.partition("'") if "'" in low else low.partition("’")
-            if cls is None and mark and len(head) <= 2:  # elided article
-                functional, run, low = functional + 1, 0, tail
-                out.append(WORDS.get(head, "elided"))
-                cls = WORDS.get(low)
+            if cls is None and ("'" in low or "’" in low):
+                head, mark, tail = low.partition("'") if "'" in low else low.partition("’")
+                if len(head) <= 2:  # elided article
+                    functional, run, low = functional + 1, 0, tail
+                    out.append(WORDS.get(head, "elided"))
+                    cls = WORDS.get(low)
             if cls:
                 functional, run = functional + 1, 0
                 out.append(cls)
             else:
                 run = min(run + 1, RUN)
-                shape = "UPPER" if text.isupper() and len(text) > 1 else "Title" if text[0].isupper() else "word"
-                out.append(f"{shape}{run}")
-        elif kind in ("kana", "kata", "han"):
+                out.append(CLASS["UPPER" if text.isupper() and len(text) > 1 else "Title" if text[0].isupper() else "word"][run])
+        elif kind == "punct":
+            out.append("link" if text == CAPTION else text if text in KEPT_PUNCT else "punct")
+        elif kind in SCRIPTS:
             words += 1
             functional += kind == "kana"
             out.append(kind)
-        elif kind == "punct":
-            out.append("link" if text == CAPTION else text if text in KEPT_PUNCT else "punct")
+            if said is not None:
+                said.append(text)
         else:
             out.append(kind)
     return out, words, functional
@@ -190,12 +198,11 @@ def judge(text: str | None, model: Model) -> tuple[int, float, float, bool]:
     """Words and links of a text, share of them in abnormal units, share in its top phrase, verdict."""
     weight, abnormal, words = 0, 0, []
     for u in units(text) if text else ():
-        classes, n, _ = unit_classes(u)
+        classes, n, _ = unit_classes(u, words)
         w = n + LINK_WORDS * (classes.count("link") - (CAPTION in u))
         weight += w
         if model.total and (n > LONGEST or model.perplexity(classes) > HIGH):
             abnormal += w
-        words += [m.group().lower() for m in TOKEN.finditer(u) if m.lastgroup in ("word", "kata", "han", "kana")]
     pairs = Counter((a, b) for a, b in zip(words, words[1:]) if a not in WORDS and b not in WORDS)
     times = max(pairs.values(), default=0)
     share, phrase = abnormal / max(1, weight), 2 * times / max(1, len(words))
