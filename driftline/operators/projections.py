@@ -87,6 +87,6 @@ class DailyCounts(Projection):
 
 def lag(positions: DataFrame, log: DataFrame) -> DataFrame:
     """(projection, last_position, head_position, lag): the head is read once."""
-    head = log.agg(F.coalesce(F.max("stream_position"), F.lit(0)).alias("head_position"))  # one row
-    return positions.crossJoin(F.broadcast(head)).select(
+    head = log.agg(F.coalesce(F.max("stream_position"), F.lit(0))).scalar()
+    return positions.withColumn("head_position", head).select(
         "projection", "last_position", "head_position", F.greatest(F.lit(0), F.col("head_position") - F.col("last_position")).alias("lag"))

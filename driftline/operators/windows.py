@@ -54,8 +54,8 @@ def is_closed(window_start, seconds: int, watermark, lateness: int = LATENESS):
 
 def history(marked: DataFrame, seconds: int, lateness: int = LATENESS) -> DataFrame:
     """What has been flushed: closed windows, and late buckets without a start."""
-    top = marked.agg(F.max("watermark").alias("wm"))  # one row
-    closed = tumbling(marked, seconds).crossJoin(F.broadcast(top)).where(is_closed(F.col("window_start"), seconds, F.col("wm"), lateness)).select(
+    top = marked.agg(F.max("watermark")).scalar()
+    closed = tumbling(marked, seconds).where(is_closed(F.col("window_start"), seconds, top, lateness)).select(
         "tenant_id", "event_type", F.lit(duration_label(seconds)).alias("window_duration"), "window_start", "event_count", "sum_value", F.lit(False).alias("is_late"))
     late = late_bucket(marked, seconds).select(
         "tenant_id", "event_type", "window_duration", F.lit(None).cast("timestamp").alias("window_start"), "event_count", "sum_value", F.lit(True).alias("is_late"))
@@ -64,8 +64,8 @@ def history(marked: DataFrame, seconds: int, lateness: int = LATENESS) -> DataFr
 
 def live_frames(marked: DataFrame, seconds: int) -> DataFrame:
     """The window that holds the watermark, for every tenant and type; zeros where it is empty."""
-    top = marked.agg(truncate_to(F.max("watermark"), seconds).alias("window_start"))  # one row
+    top = marked.agg(truncate_to(F.max("watermark"), seconds)).scalar()
     keys = marked.select("tenant_id", "event_type").distinct()
     now = tumbling(marked, seconds)
-    return keys.crossJoin(F.broadcast(top)).join(now, ["tenant_id", "event_type", "window_start"], "left").select(
+    return keys.withColumn("window_start", top).join(now, ["tenant_id", "event_type", "window_start"], "left").select(
         "tenant_id", "event_type", "window_start", F.coalesce("event_count", F.lit(0)).alias("event_count"), F.coalesce("sum_value", F.lit(0.0)).alias("sum_value"))

@@ -116,9 +116,9 @@ def late_bucket_1h(spark, d):
 
 def window_closed(spark, d):
     m = _marked(spark, d)
-    top = m.agg(F.max("watermark").alias("wm"))
+    top = m.agg(F.max("watermark")).scalar()
     starts = m.where("NOT is_late").select(S.truncate_to("occurred_at", 3600).alias("window_start")).distinct()
-    return starts.crossJoin(F.broadcast(top)).select(_ntz("window_start"), windows.is_closed(F.col("window_start"), 3600, F.col("wm")).alias("is_closed"))
+    return starts.select(_ntz("window_start"), windows.is_closed(F.col("window_start"), 3600, top).alias("is_closed"))
 
 
 def window_stats_history(spark, d):

@@ -64,9 +64,8 @@ class WindowStream:
         """(tenant_id, event_type, window_start, is_late, event_count, sum_value, is_closed) as of the last batch."""
         got = self._read("added", ADDED).where(F.col("duration") == duration_label(seconds)).groupBy("tenant_id", "event_type", "window_start", "is_late").agg(
             F.sum("event_count").alias("event_count"), windows.exact_sum(F.col("sum_value")).alias("sum_value"))
-        top = self.watermark()
-        closed = F.col("is_late") | windows.is_closed(F.col("window_start"), seconds, F.col("wm"), self.lateness)
-        return got.crossJoin(F.broadcast(top)).withColumn("is_closed", F.coalesce(closed, F.lit(False))).drop("wm")
+        closed = F.col("is_late") | windows.is_closed(F.col("window_start"), seconds, self.watermark().scalar(), self.lateness)
+        return got.withColumn("is_closed", F.coalesce(closed, F.lit(False)))
 
     def flushed(self, seconds: int) -> DataFrame:
         """Closed windows and late buckets, as written to history."""
@@ -74,8 +73,8 @@ class WindowStream:
 
     def live(self, seconds: int) -> DataFrame:
         """The window that holds the watermark."""
-        top = self.watermark().select(truncate_to("wm", seconds).alias("window_start"))
-        return self.state(seconds).where("NOT is_late").join(F.broadcast(top), "window_start").select("tenant_id", "event_type", "window_start", "event_count", "sum_value")
+        top = self.watermark().select(truncate_to("wm", seconds)).scalar()
+        return self.state(seconds).where(~F.col("is_late") & (F.col("window_start") == top)).select("tenant_id", "event_type", "window_start", "event_count", "sum_value")
 
 
 def run(spark: SparkSession, source: DataFrame, root: str, durations: tuple[int, ...] = (60, 3600), columnar: str | None = None) -> WindowStream:
