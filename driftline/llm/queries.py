@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline import scratch
 from driftline.llm import bpe_automaton, mixing, pii_bootstrap, prose_model
-from driftline.sources.tables import read
+from driftline.sources.tables import read, spread
 
 
 def _pii(spark: SparkSession, d: str):
-    texts = pii_bootstrap.texts_of(spark, lambda t: read(spark, d, t))
+    texts = spread(pii_bootstrap.texts_of(spark, lambda t: read(spark, d, t)))
     return texts, pii_bootstrap.learn(texts, read(spark, d, "given_names"))
 
 
@@ -25,7 +25,7 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe_automaton.encode(read(spark, d, "documents").select("doc_id", "text"))
+    return bpe_automaton.encode(spread(read(spark, d, "documents").select("doc_id", "text")))
 
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str):
-    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "source", "text"))
     sized = scratch.table(bpe_automaton.count_tokens(docs), "mix-sizes")
     return mixing.mix(sized, read(spark, d, "mix_targets"))
 
@@ -51,7 +51,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     return prose_model.score(docs, prose_model.train(docs))
 
 
