@@ -10,3 +10,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores if the files make fewer partitions than that: for costly work per row on a small input.
+
+    A large input has more partitions than cores and stays as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
