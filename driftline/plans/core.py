@@ -71,7 +71,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_revisions(spark: SparkSession, d: str) -> DataFrame:
     events = read(spark, d, "usage_events").select("delivery_id", "tenant_id", "event_type", "value", "occurred_at", "received_at")
     return late_events.revisions(late_events.classify(events)).select(
-        "tenant_id", "event_type", _ntz("period_start"), _ntz("arrival_start"), "revision", "event_count", "sum_value", "late_count", "is_final")
+        "tenant_id", "event_type", _ntz("period_start"), _ntz("arrival_start"), F.col("revision").cast("long").alias("revision"), "event_count", "sum_value", "late_count", "is_final")
 
 
 def _feature_store(spark: SparkSession, d: str):
