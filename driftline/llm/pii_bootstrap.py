@@ -11,8 +11,10 @@
    A pattern needs diverse instances, so labels that repeat a few fixed phrases don't pass.
 3. A second pass applies the learned patterns, notations and names to every text, in any case and notation.
 
-What the second pass needs is broadcast. Its size is bounded: a pattern or name is kept only with a support
-of at least one in ``BOUND`` of all counted edges, so there are at most about ``BOUND`` of each.
+The support asked of a pattern or name is the same at every size of the corpus: partners are capped by the stock
+of names, so a floor that grew with the corpus would lose the rare ones first. What the second pass needs is
+broadcast if counted to be at most ``BROADCAST_KEYS`` patterns and words. Beyond, it stays a table, and each text is
+joined to the patterns and words that reading it can look up, in two rounds: addresses first, as they hide what is inside them.
 
 Defined results: null and empty texts hold nothing; texts that aren't JSON, or are cut off, are read like
 others; JSON numbers are no items; names inside e-mail addresses and links are none; rows with the same
@@ -22,7 +24,9 @@ id are each read; a corpus too small for any pattern still yields all self-provi
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -32,9 +36,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from driftline import scratch
 from driftline.llm import pii_text as T
-from driftline.operators.joins import BROADCAST_ROWS
+from driftline.operators.joins import BROADCAST_ROWS, lookup_join
 
-BOUND = 300_000
+#: Learned patterns and words are broadcast only if there are at most so many of them.
+BROADCAST_KEYS = 300_000
 #: Least share of positive instances in each round: seeds are a part of what a pattern holds, so it starts low.
 NAME_SHARE = (0.35, 0.6, 0.7)
 NUMBER_SHARE = (0.12, 0.5, 0.6, 0.6)
@@ -42,7 +47,10 @@ ADDRESS_SHARE = 0.5
 INSIDE = 0.3
 BACKED = 0.1
 MASK_SHARE = 0.1
+#: Least support of a pattern and least partners of a given name and of a surname, at any size of the corpus.
 LEAST = 4
+GIVEN_PARTNERS = 3
+SURNAME_PARTNERS = 1
 EDGE = "family string, pattern string, cls string, instance string, given string, surname string, seed string, n long"
 
 
@@ -82,12 +90,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _patterns(marked: DataFrame, least: int, share: float) -> DataFrame:
+def _patterns(marked: DataFrame, share: float) -> DataFrame:
     """Patterns of ``marked`` edges (column ``positive``) that are confident and diverse."""
     scored = marked.groupBy("pattern").agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("good"),
         F.count_distinct(F.when(F.col("positive"), F.col("instance"))).alias("kinds"))
-    return scored.where((F.col("good") >= share * F.col("total")) & (F.col("good") >= least)
+    return scored.where((F.col("good") >= share * F.col("total")) & (F.col("good") >= LEAST)
                         & (F.col("kinds") >= F.greatest(F.lit(LEAST), F.least(F.lit(200), (F.col("good") * 0.3).cast("long"))))).select("pattern")
 
 
@@ -97,7 +105,7 @@ def _flag(df: DataFrame, words: DataFrame, column, flag: str) -> DataFrame:
     return df.join(_small(marked), column == F.col(f"__{flag}"), "left").drop(f"__{flag}").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _learn_names(graph: DataFrame, given_names: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _learn_names(graph: DataFrame, given_names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Patterns, given names, surnames.
 
     A word is learned by shares, not only by support, so that a large corpus doesn't make accidents into
@@ -115,7 +123,7 @@ def _learn_names(graph: DataFrame, given_names: DataFrame, least: int) -> tuple[
             marked = _flag(marked, surnames, F.col("head"), "s")
             marked = marked.withColumn("positive", F.when(F.col("cls").isin("full", "turned"), F.col("g") & F.col("s")).otherwise(F.col("s")))
         # Initials and titles without a known surname say nothing against a pattern.
-        patterns = scratch.table(_patterns(marked.where("positive OR cls IN ('full', 'turned')"), least, share), "pii-name-patterns")
+        patterns = scratch.table(_patterns(marked.where("positive OR cls IN ('full', 'turned')"), share), "pii-name-patterns")
         full = _flag(name.where("cls = 'full'").join(_small(patterns.withColumn("inside", F.lit(True))), "pattern", "left"), given, F.col("head"), "next_is_given")
         full = scratch.table(full.groupBy("given", "surname", "head", "next_is_given").agg(
             F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in")), "pii-pairs")
@@ -124,7 +132,7 @@ def _learn_names(graph: DataFrame, given_names: DataFrame, least: int) -> tuple[
             F.count_if((F.col("n_in") > 0) & ~F.col("next_is_given")).alias("partners"))
         as_surname = full.groupBy(F.col("head").alias("w")).agg(F.sum("n").alias("other_uses"))
         learned = as_given.join(as_surname, "w", "left").where(
-            (F.col("partners") >= max(3, least // 2)) & (F.col("n_in") >= INSIDE * F.col("uses")) & (F.col("before_given") < 0.5 * F.col("uses"))
+            (F.col("partners") >= GIVEN_PARTNERS) & (F.col("n_in") >= INSIDE * F.col("uses")) & (F.col("before_given") < 0.5 * F.col("uses"))
             & (F.coalesce("other_uses", F.lit(0)) < F.col("uses"))).select("w")
         scratch.drop(given if given is not listed else None)
         given = scratch.table(listed.unionByName(learned).distinct(), "pii-given")
@@ -133,12 +141,12 @@ def _learn_names(graph: DataFrame, given_names: DataFrame, least: int) -> tuple[
             F.sum("n_in").alias("n_in"), F.count_distinct(F.when(F.col("g") & (F.col("n_in") > 0), F.col("given"))).alias("partners"))
         found = found.join(as_given.select("w", F.col("uses").alias("other_uses")), "w", "left")
         surnames = scratch.table(_flag(found, given, F.col("w"), "is_given").where(
-            (F.col("partners") >= max(1, least // 2 - 1)) & (F.col("n_in") >= INSIDE * F.col("uses")) & (F.col("after_given") >= 0.5 * F.col("uses"))
+            (F.col("partners") >= SURNAME_PARTNERS) & (F.col("n_in") >= INSIDE * F.col("uses")) & (F.col("after_given") >= 0.5 * F.col("uses"))
             & (F.coalesce("other_uses", F.lit(0)) < F.col("uses")) & ~F.col("is_given")).select("w"), "pii-surnames")
     return patterns, given, surnames
 
 
-def _learn_numbers(graph: DataFrame, least: int) -> tuple[dict[str, DataFrame], DataFrame]:
+def _learn_numbers(graph: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     number = graph.where("family = 'number'")
     masks = None
     for r in range(len(NUMBER_SHARE)):
@@ -149,7 +157,7 @@ def _learn_numbers(graph: DataFrame, least: int) -> tuple[dict[str, DataFrame],
             if masks is not None:
                 marked = number.join(F.broadcast(masks), "cls", "left")  # masks are bounded by the notations of NUMBER
                 positive = positive | (F.col("kind") == kind)
-            patterns[kind] = scratch.table(_patterns(marked.withColumn("positive", F.coalesce(positive, F.lit(False))), least, NUMBER_SHARE[r]), "pii-number-patterns")
+            patterns[kind] = scratch.table(_patterns(marked.withColumn("positive", F.coalesce(positive, F.lit(False))), NUMBER_SHARE[r]), "pii-number-patterns")
         # A notation belongs to the kind in whose keys and words before it enough of its instances stand; each
         # occurrence still needs a pattern of the kind, so notations shared with order numbers do no harm.
         where = patterns["phone"].withColumn("kind", F.lit("phone")).unionByName(patterns["ident"].withColumn("kind", F.lit("ident")))
@@ -170,40 +178,110 @@ def _learn_numbers(graph: DataFrame, least: int) -> tuple[dict[str, DataFrame],
     return patterns, masks
 
 
-def learn(texts: DataFrame, given_names: DataFrame, text: str = "text") -> T.Reader:
-    """Bootstrap over all texts."""
-    graph = scratch.table(edges(texts, text), "pii-graph")
-    total = graph.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, -(-total // BOUND))
-    names, given, surnames = _learn_names(graph, given_names, least)
-    numbers, masks = _learn_numbers(graph, least)
-    address = _patterns(graph.where("family = 'address'").withColumn("positive", F.col("seed") == "address"), least, ADDRESS_SHARE)
-    words = lambda df, c: {r[0] for r in df.collect()}  # noqa: E731  (each bounded by BOUND, see least)
-    patterns = {"name": words(names, 0), "phone": words(numbers["phone"], 0), "ident": words(numbers["ident"], 0), "address": words(address, 0)}
-    return T.Reader(patterns, {r["cls"]: r["kind"] for r in masks.collect()}, words(given, 0), words(surnames, 0))
+class Learned(NamedTuple):
+    """What was learned, too much to broadcast: ``keys`` are (key, kinds), kinds joined by commas."""
+
+    keys: DataFrame
+    masks: dict[str, str]
 
 
-def find(texts: DataFrame, reader: T.Reader, keys: list[str], text: str = "text") -> DataFrame:
+def _reader(rows: Iterable[tuple[str, str]], masks: dict[str, str]) -> T.Reader:
+    """A reader of (kinds, key) rows."""
+    sets: dict[str, set[str]] = {k: set() for k in T.KEY_KINDS}
+    for kinds, key in rows:
+        for kind in kinds.split(","):
+            sets[kind].add(key)
+    given, surnames = sets.pop("given"), sets.pop("surname")
+    return T.Reader(sets, masks, given, surnames)
+
+
+def learn(texts: DataFrame, given_names: DataFrame, text: str = "text") -> T.Reader | Learned:
+    """Bootstrap over all texts."""
+    graph = scratch.table(edges(texts, text), "pii-graph")
+    names, given, surnames = _learn_names(graph, given_names)
+    numbers, masks = _learn_numbers(graph)
+    address = _patterns(graph.where("family = 'address'").withColumn("positive", F.col("seed") == "address"), ADDRESS_SHARE)
+    parts = {"name": names, "phone": numbers["phone"], "ident": numbers["ident"], "address": address, "given": given, "surname": surnames}
+    keys = reduce(DataFrame.unionByName, [df.select(F.col(df.columns[0]).alias("key"), F.lit(kind).alias("kind")) for kind, df in parts.items()])
+    keys = scratch.table(keys.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")), "pii-learned")
+    notations = {r["cls"]: r["kind"] for r in masks.collect()}
+    if keys.count() > BROADCAST_KEYS:
+        return Learned(keys, notations)
+    return _reader(keys.select("kinds", "key").collect(), notations)
+
+
+def _with_known(texts: DataFrame, learned: Learned, text: str) -> DataFrame:
+    """``texts`` with ``__known``: the learned (kinds, key) rows that reading the text can look up, or null.
+
+    Equal texts ask once. They are told apart by their SHA-256, as row numbers aren't stable when a task is repeated.
+    """
+    known = "array<struct<kinds: string, key: string>>"
+
+    def asking(addresses: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            gate = T.Gate()
+            for batch in batches:
+                out = set()
+                for h, t, got in zip(batch["h"], batch["t"], batch["known"]):
+                    span = gate.opening(t) if t else None
+                    if span is not None:
+                        reader = None if addresses else _reader(_pairs(got), {})
+                        out.update((h, k) for k in T.asked(T.unescape(t[span[0]:span[1]])[0], reader))
+                yield pd.DataFrame(list(out), columns=["h", "key"])
+        return run
+
+    def answers(asks: DataFrame) -> DataFrame:
+        got = lookup_join(asks.distinct(), learned.keys, ["key"], salt_by="h")
+        return got.groupBy("h").agg(F.collect_list(F.struct("kinds", "key")).alias("known"))
+
+    h = F.sha2(F.col(text), 256)
+    once = texts.select(h.alias("h"), F.col(text).alias("t")).where("t IS NOT NULL").dropDuplicates(["h"])
+    first = once.withColumn("known", F.lit(None).cast(known)).mapInPandas(asking(True), "h string, key string")
+    streets = answers(first)
+    second = once.join(streets, "h", "left").mapInPandas(asking(False), "h string, key string")
+    all_known = scratch.table(answers(first.unionByName(second)), "pii-known").select(F.col("h").alias("__h"), F.col("known").alias("__known"))
+    return texts.join(all_known, h == F.col("__h"), "left").drop("__h")
+
+
+def _pairs(known) -> list[tuple[str, str]]:
+    return [] if known is None else [(k["kinds"], k["key"]) for k in known]
+
+
+def find(texts: DataFrame, reader: T.Reader | Learned, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, kind): one row per text and kind of item in it."""
     schema = StructType([*[texts.schema[k] for k in keys], StructField("kind", StringType())])
-    shared = texts.sparkSession.sparkContext.broadcast(reader)
+    joined = isinstance(reader, Learned)
+    masks = reader.masks
+    shared = None if joined else texts.sparkSession.sparkContext.broadcast(reader)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gate, reader = T.Gate(), shared.value
+        gate = T.Gate()
         for batch in batches:
             rows, kinds = [], []
-            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for kind in sorted({k for _, _, k in T.items(t, gate, reader)}) if t else ():
+            known = batch.column(len(keys) + 1).to_pylist() if joined else None
+            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
+                by = _reader(_pairs(known[i]), masks) if joined else shared.value
+                for kind in sorted({k for _, _, k in T.items(t, gate, by)}) if t else ():
                     rows.append(i)
                     kinds.append(kind)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], pa.array(kinds, pa.string())], names=[*keys, "kind"])
 
-    return texts.select(*keys, F.col(text).alias("__t")).where("__t IS NOT NULL").mapInArrow(run, schema)
+    if joined:
+        texts = _with_known(texts, reader, text)
+    return texts.select(*keys, F.col(text).alias("__t"), *(["__known"] if joined else [])).where("__t IS NOT NULL").mapInArrow(run, schema)
 
 
-def redact(texts: DataFrame, reader: T.Reader, text: str = "text") -> DataFrame:
+def redact(texts: DataFrame, reader: T.Reader | Learned, text: str = "text") -> DataFrame:
     """The same rows with placeholders for the items of ``text``."""
+    if isinstance(reader, Learned):
+        masks = reader.masks
+
+        @F.udf(StringType())
+        def clean_joined(t: str | None, known) -> str | None:
+            return T.redact(t, T.Gate(), _reader(_pairs(known), masks)) if t else t
+
+        return _with_known(texts, reader, text).withColumn(text, clean_joined(text, "__known")).drop("__known")
     shared = texts.sparkSession.sparkContext.broadcast(reader)
 
     @F.pandas_udf(StringType())

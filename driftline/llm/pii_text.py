@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+#: Kinds of learned patterns and words.
+KEY_KINDS = ("name", "phone", "ident", "address", "given", "surname")
 KINDS = ("email", "phone", "ident", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "ident": "[IDENT]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -327,6 +329,32 @@ class Reader:
         return out
 
 
+def asked(text: str, reader: Reader | None) -> set[str]:
+    """All patterns and words that reading an unescaped text can look up: those of its addresses, or, with a reader
+    that knows these, all others."""
+    rest = without_links(text, emails(text))
+    known = words(rest)
+    streets = addresses(rest, known)
+    if reader is None:
+        return {p for c in streets if not c.sure for p in contexts(rest, c.start, c.end)}
+    accepted = [(c.start, c.end) for c in streets if c.sure or any(p in reader.patterns["address"] for p in contexts(rest, c.start, c.end))]
+    if accepted:
+        rest = _blank(rest, accepted)
+    found = {p for c in numbers(rest) for p in contexts(rest, c.start, c.end)}
+    one = set(known)
+    for c in names(rest):
+        one |= {c.given, c.surname}
+        found.update(contexts(rest, c.start, c.end))
+    low = list(LOWER.finditer(rest))
+    one.update(m.group() for m in low)
+    for x, y in zip(low, low[1:]):
+        gap = rest[x.end():y.start()]
+        if len(gap) <= 12 and _BETWEEN.fullmatch(gap):
+            found.update(contexts(rest, x.start(), y.end()))
+    one.update(m.group(1).split()[-1] for m in _LOW_TITLE.finditer(rest))
+    return found | one | {p for w in one if "-" in w for p in w.split("-")}
+
+
 _CALM = re.compile(r"\s*[:,{}\[\]][\s:,{}\[\]\d.\-truefalsn]*|\d{1,3}(?:\.\d{1,3}){3}")
 _STIR = re.compile(r"[^\W\d_]\S* \S|[@＠\\]|%40|\d[\d ().\-/]{5,}|[A-Z]\d")
 

@@ -82,3 +82,22 @@ def test_on_tables(spark, reader):
 def test_nothing_to_learn_from(spark):
     r = B.learn(spark.createDataFrame([(None,), ("",)], "text string"), spark.createDataFrame([], "given_name string"))
     assert {k for _, _, k in T.items("a@b.example +44 7700 900978", T.Gate(), r)} == {"email", "phone"}
+
+
+def test_support_does_not_grow_with_the_corpus(spark, reader, monkeypatch):
+    # As many edges as a corpus thousands of times as large has, of one number that nobody asks for.
+    row = spark.createDataFrame([("number", "K trace", "9", "1", "", "", "", 150_000_000)], B.EDGE)
+    edges = B.edges
+    monkeypatch.setattr(B, "edges", lambda texts, text="text": edges(texts, text).unionByName(row))
+    got = B.learn(spark.createDataFrame([(t,) for t in corpus()], "text string"), spark.createDataFrame([(g,) for g in GIVEN], "given_name string"))
+    assert (got.given, got.surnames, got.masks, got.patterns) == (reader.given, reader.surnames, reader.masks, reader.patterns)
+
+
+def test_joined_as_broadcast(spark, reader, monkeypatch):
+    monkeypatch.setattr(B, "BROADCAST_KEYS", 0, raising=False)
+    learned = B.learn(spark.createDataFrame([(t,) for t in corpus()], "text string"), spark.createDataFrame([(g,) for g in GIVEN], "given_name string"))
+    assert isinstance(learned, B.Learned)
+    texts = [t for t, _ in CASES] + corpus()[:60] + [None, "Lindenweg 178a, reported by Jorge Halenko again", "o'hal tolwick, lina hal-tolwick"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id int, text string")
+    assert rows(B.find(df, learned, ["row_id"])) == rows(B.find(df, reader, ["row_id"]))
+    assert rows(B.redact(df, learned)) == rows(B.redact(df, reader))
