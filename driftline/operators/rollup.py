@@ -62,19 +62,31 @@ def tenant_days(events: DataFrame, tenant: str, first: dt.date, last: dt.date, d
     return got.orderBy(F.desc("date"), F.desc("event_count"), "event_type").limit(limit if 1 <= limit <= 10_000 else 5_000)
 
 
-def checksum(rollup: DataFrame) -> str:
-    """SHA-256 over the rows in key order, without inserted_at.
-
-    Every row is hashed where it lies, the hashes of a tenant are folded in order, and the tenants' in
-    order of tenant: only one digest per tenant reaches the driver's fold, streamed.
-    """
+def _tenant_texts(rollup: DataFrame) -> DataFrame:
+    """(tenant_id, text): a tenant's rows as lines in key order, without inserted_at."""
     line = F.concat(F.concat_ws("|", "tenant_id", "event_type", F.date_format("date", "yyyy-MM-dd"), F.col("event_count").cast("string"),
                                 float_text("total_value")), F.lit("\n"))
     per_tenant = rollup.select("tenant_id", "event_type", "date", line.alias("line")).groupBy("tenant_id").agg(
         F.array_sort(F.collect_list(F.struct("event_type", "date", "line"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: r["line"]), "")
+    return per_tenant.select("tenant_id", F.array_join(F.transform("rows", lambda r: r["line"]), "").alias("text"))
+
+
+def checksums(rollup: DataFrame) -> DataFrame:
+    """(tenant_id, checksum): SHA-256 over each tenant's rows in key order, hashed in Spark; nothing reaches the driver.
+
+    A tenant's rows are bounded by its event types and days.
+    """
+    return _tenant_texts(rollup).select("tenant_id", F.sha2("text", 256).alias("checksum"))
+
+
+def checksum(rollup: DataFrame) -> str:
+    """SHA-256 over the rows in key order, without inserted_at.
+
+    One hash over all rows has to read them in order: their text is streamed through the driver, a partition
+    at a time. For a day's rollup; :func:`checksums` is for the whole of it.
+    """
     digest = hashlib.sha256()
-    for r in per_tenant.select("tenant_id", text.alias("text")).orderBy("tenant_id").toLocalIterator():
+    for r in _tenant_texts(rollup).orderBy("tenant_id").toLocalIterator():
         digest.update(r["text"].encode())
     return digest.hexdigest()
 

@@ -11,6 +11,7 @@ from driftline import schemas, scratch
 from driftline.functions import codec
 from driftline.functions import scalar as S
 from driftline.operators import final, ingest, keys, ledger, machines, masking, privacy, projections, rollup, search, shard, slo, windows
+from driftline.plans import reference
 from driftline.sources import event_log, fixtures
 from tests.conftest import rows
 
@@ -129,6 +130,19 @@ def test_checksum(spark):
         assert rows(rollup.fast_checksum(roll(spark, other))) != rows(rollup.fast_checksum(roll(spark, data)))
 
 
+def test_rollup_checksum_covers_every_tenant(spark, monkeypatch):
+    data = [(i, t, e, "{}", v, T0 + dt.timedelta(days=i % 2)) for i, (t, e, v) in enumerate([("7", "a", 1.0), ("8", "a", 2.0), ("8", "b", 0.5), ("8", "a", 3.0), ("9", "a", 1e7)])]
+    at = [data]
+    monkeypatch.setattr(fixtures, "events", lambda spark, d: events(spark, at[0]))
+    before = rows(reference.rollup_checksum(spark, ""))
+    lines = {"7": ["7|a|2024-03-15|1|1.0"], "8": ["8|a|2024-03-16|2|5.0", "8|b|2024-03-15|1|0.5"], "9": ["9|a|2024-03-15|1|1e7"]}
+    text = {t: "".join("|".join([*x.split("|")[:4], codec.plain_float(float(x.split("|")[4]))]) + "\n" for x in ls) for t, ls in lines.items()}
+    assert before == [(t, hashlib.sha256(text[t].encode()).hexdigest()) for t in sorted(text)]
+    for i, tenant in enumerate(["7", "8", "8", "8", "9"]):
+        at[0] = [(*r[:4], r[4] + 1.0, r[5]) if j == i else r for j, r in enumerate(data)]
+        assert {t for t, _ in set(rows(reference.rollup_checksum(spark, ""))) - set(before)} == {tenant}
+
+
 def events(spark, data):
     return spark.createDataFrame(data, "event_id long, tenant_id string, event_type string, payload string, value double, occurred_at timestamp")
 
