@@ -192,6 +192,13 @@ def test_log_append_positions_and_cursors(spark, tmp_path):
     assert event_log.head(log.where("false")) == 0
 
 
+def test_whole_table_is_numbered_without_gaps(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r["event_id"]: r["stream_position"] for r in reference.QUERIES["log_positions_all"](spark, d).collect()}
+    order = [r["event_id"] for r in fixtures.events(spark, d).orderBy("occurred_at", "event_id").select("event_id").collect()]
+    assert got == {e: 1001 + i for i, e in enumerate(order)}
+
+
 def test_projection_resumes_after_its_position(spark, tmp_path):
     log = fixtures.log(spark, "/root/testdata/sf0.001")
     p, root = projections.RunningTotals(), f"file://{tmp_path}/p"
