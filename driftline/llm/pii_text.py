@@ -31,13 +31,14 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 EMAIL = re.compile(
     rf"(?:[a-z0-9](?:[\w.+-]|%2b)*{_AT}(?:{_LABEL}{_DOT})+[a-z]{{2,}}|[a-z0-9][\w.+-]*\s+at\s+(?:{_LABEL}\.)*{_LABEL}(?:\s?[\[({{]\s?dot\s?[\])}}]\s?|\s+dot\s+)[a-z]{{2,}})"
     r"(?![a-z0-9@])", re.I)
+_BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
 LINK = re.compile(r"\b(?:https?://|www\.)[^\s\"'<>)]+", re.I)
 
 NUMBER = re.compile(
     r"(?<![\w@/=&$#.-])(?:[A-Z]{1,2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z]\b|\d{2}\.?\d{3}\.?\d{3}-?[A-Z]\b|[A-Z]\d(?:\d-?|[A-Z])\d{5,7}\b"
     r"|\+?\(?\d(?:[ .\-/]?[()]?[ .\-/]?\d){5,21}(?:\s?(?:ext\.?|x)\s?\d{1,5}\b)?"
     rf"|\b(?:(?:{DIGIT_WORDS})[ -]){{5,}}(?:{DIGIT_WORDS})\b)(?![\w@])")
-NUMBER_HINT = re.compile(rf"\d[^a-z\n]{{4,}}|\b(?:{DIGIT_WORDS}) (?:{DIGIT_WORDS}) ")
+NUMBER_HINT = re.compile(rf"\d[^a-z]{{4,}}|\b(?:{DIGIT_WORDS})[ -](?:{DIGIT_WORDS})[ -]")
 HASHED = re.compile(r"#(?=[A-Z]\d{6,8}\b)")
 
 _UP, _LO = "A-ZÀ-ÖØ-ÞŁŚŻŹČŠŽĐŐŰ", "a-zß-öø-ÿąćęłńśźżčšžěřůđőű"
@@ -185,7 +186,7 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def emails(text: str) -> list[tuple[int, int]]:
-    if not ("@" in text or "＠" in text or "%40" in text or "dot" in (low := text.lower()) and "at" in low):
+    if not ("@" in text or "＠" in text or "%40" in text or "at" in (low := text.lower()) and ("dot" in low or _BRACKETED_AT.search(low))):
         return []
     return [m.span() for m in EMAIL.finditer(text)]
 
@@ -355,8 +356,11 @@ def asked(text: str, reader: Reader | None) -> set[str]:
     return found | one | {p for w in one if "-" in w for p in w.split("-")}
 
 
-_CALM = re.compile(r"\s*[:,{}\[\]][\s:,{}\[\]\d.\-truefalsn]*|\d{1,3}(?:\.\d{1,3}){3}")
-_STIR = re.compile(r"[^\W\d_]\S* \S|[@＠\\]|%40|\d[\d ().\-/]{5,}|[A-Z]\d")
+#: Between quoted parts: the value of a key, then marks, words of JSON and numbers too short to be an item.
+_CALM = re.compile(r"\s*(?=[:,{}\[\]])(?::\s?-?\d+(?:\.\d+)?(?![ .\-/()]*\d))?(?:(?!\d[\d ().\-/]{5,})[\s:,{}\[\]\d.\-truefalsn])*")
+#: What every e-mail address, number, name and address of more than one word has.
+_STIR = re.compile(rf"[^\W\d_]\S*\s\S|[@＠\\]|%40|{_BRACKETED_AT.pattern.replace('at', '[aA][tT]')}|\d[\d ().\-/]{{5,}}|[A-Z]\d|(?:{DIGIT_WORDS})-(?:{DIGIT_WORDS})-")
+_BLANK = re.compile(r"\s")
 
 
 class Gate:
@@ -372,24 +376,25 @@ class Gate:
         calm, at, starts, first, last = self.calm, 0, [], None, 0
         for part in text.split('"'):
             starts.append(at)
+            quote = '"' if at else ""  # what is before the part
             at += len(part) + 1
-            if part in calm:
+            if quote and part in calm:
                 continue
-            if not _CALM.fullmatch(part) and _STIR.search(part) and not self._plain(part):
+            if not (quote and _CALM.fullmatch(part)) and _STIR.search(part) and not self._plain(part, quote):
                 if first is None:
                     first = starts[-3] if len(starts) > 2 else 0
                 last = at - 1
-            elif len(part) <= 40 and len(calm) < self.MOST:
+            elif quote and len(part) <= 40 and len(calm) < self.MOST:
                 calm.add(part)
         return None if first is None else (max(0, first - 1), last + 1)
 
     @staticmethod
-    def _plain(part: str) -> bool:
+    def _plain(part: str, quote: str) -> bool:
         if "\\" in part:
             return False
-        if " " in part or "@" in part or "＠" in part or "%40" in part:
-            return len(part) <= 40 and not (emails(part) or numbers(part) or names(part) or addresses(part) or LOWER.search(part))
-        return part[:1].isalpha() and not re.match(r"[A-Z]{1,2}\d", part)
+        if _BLANK.search(part):
+            return len(part) <= 40 and not (emails(part) or numbers(quote + part) or names(part) or addresses(part) or LOWER.search(part))
+        return not (emails(part) or numbers(quote + part))  # names and addresses have blanks
 
 
 def items(text: str, gate: Gate, reader: Reader) -> list[tuple[int, int, str]]:

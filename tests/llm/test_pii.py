@@ -101,3 +101,16 @@ def test_joined_as_broadcast(spark, reader, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id int, text string")
     assert rows(B.find(df, learned, ["row_id"])) == rows(B.find(df, reader, ["row_id"]))
     assert rows(B.redact(df, learned)) == rows(B.redact(df, reader))
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ('{"contact": "tel:+442079460958"}', {"phone"}), ('{"n": "SSN:536-90-4399"}', {"ident"}), ("jane(at)example(dot)com", {"email"}), ("jane [at] example.com", {"email"}),
+    ('{"a": "jane{AT}example.com"}', {"email"}), ("reported by Kemal\u00a0Tolwick again", {"name"}), ('{"who": "Lina\u00a0Tolwick"}', {"name"}), ("lina\u00a0tolwick", {"name"}),
+    ('He said "call", +1 555-123-4567', {"phone"}), ('{"ts": 1700000000, "v": [1, 2.5, -3], "ip": "10.20.84.7"}', set()), ('{"id": "a1b2c3d4-e5f6"}', set())])
+def test_gate_passes_every_notation(reader, text, kinds):
+    assert {k for _, _, k in T.items(text, T.Gate(), reader)} == kinds
+
+
+@pytest.mark.parametrize("text", ['x "y", 555-123-4567', '{"a": "five-five-five-one-two-three-four"}', '{"n": ["a", 5551234567]}', "01.23.45.67", ":1234567"])
+def test_gate_opens_where_numbers_finds_one(text):
+    assert T.numbers(text) and T.Gate().opening(text) is not None
