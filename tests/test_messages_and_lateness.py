@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import late_events
 from driftline.operators.message_store import MessageStore, canonical_uuid
+from driftline.plans import core
 from tests.conftest import rows
 
 T0 = dt.datetime(2025, 5, 5)
@@ -63,6 +64,20 @@ def test_no_messages(spark):
     assert store.messages().count() == 0
 
 
+def test_copies_of_different_runs_meet_in_the_queries(spark, monkeypatch):
+    data = [msg(i, f"m{i % 20}", at=i) for i in range(80)] + [(99, "m0", "a", T0, 1, None, "clash", 9)]
+    runs, compacted = [], []
+    upsert, compact = MessageStore.upsert, MessageStore.compact
+    monkeypatch.setattr(core, "read", lambda spark, d, t: spark.createDataFrame(data, MSG))
+    monkeypatch.setattr(MessageStore, "upsert", lambda self, df, run: (runs.append({r.delivery_id for r in df.collect()}), upsert(self, df, run))[1])
+    monkeypatch.setattr(MessageStore, "compact", lambda self: (compacted.append(len(self.runs)), compact(self))[1])
+    got = rows(core.p4_messages(spark, ""), "event_id", "copies")
+    assert got == sorted([(f"m{i}", 5 if i == 0 else 4) for i in range(20)], key=repr)
+    assert len(runs) > 1 and compacted == [len(runs)] and sum(map(len, runs)) == len(set().union(*runs)) == 81
+    monkeypatch.setattr(core, "read", lambda spark, d, t: spark.createDataFrame([], MSG))
+    assert core.p4_messages(spark, "").count() == 0
+
+
 LATE = "delivery_id long, tenant_id string, event_type string, value double, occurred_at timestamp, received_at timestamp, slot int, watermark int, fate string, block int"
 
 
