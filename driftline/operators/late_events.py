@@ -14,7 +14,7 @@ accumulate the cells of an event period across arrivals, so every revision it ev
 
 Defined results: a null occurred_at is never late, moves no watermark and belongs to no period, so
 it is in no cell; a null received_at sorts before all; null event types and tenants are groups of
-their own; a null or NaN value counts as a row and adds 0; ties in received_at go by delivery_id;
+their own; a null or NaN value, and one of 1e20 or more in size (infinities too), counts as a row and adds 0; ties in received_at go by delivery_id;
 equal rows each count; an empty table gives no rows; columns named watermark and fate are replaced, other extra columns pass through. Each delivery counts (see message_store for
 collapsing deliveries first).
 """

@@ -10,7 +10,7 @@ Amounts are decimals, so what is added and taken away again leaves exactly zero.
 bounded by the calendar, however many rows it has: those are summed per day before anything else.
 
 Defined results: the valid row of an (entity, type, day) has the greatest inserted_at (ties: the
-greater count, then total); a null inserted_at is older than any; null amounts add 0; null types are a
+greater count, then total); a null inserted_at is older than any; null and NaN amounts, and those of 1e20 or more in size (infinities too), add 0; null types are a
 type; rows with a null entity or day are left out; days run from the first to the last active day (event_count above 0); an entity
 never active has no rows; averages are per day of the span, whether or not the span reaches back
 before the first day; an empty table gives no rows.
