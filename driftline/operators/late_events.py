@@ -4,10 +4,12 @@ Rows arrive in order of (received_at, delivery_id). The watermark before a row i
 occurred_at of all rows before it, over all tenants. A row more than ``lateness`` behind it is late:
 it corrects its period, or is dropped if it is more than ``cutoff`` behind.
 
-The watermark is found without one sorted task: rows fall into arrival slots (a minute each; a
-minute with more rows than a ten-thousandth of all, and than a million, is split to single
-microseconds and blocks of 65,536 delivery ids). Slots are aggregated, their maxima accumulated by
-day and within the day, and only then rows are ordered within their slot.
+The watermark is found without one sorted task: rows fall into arrival slots, which are aggregated to their
+greatest occurred_at; these maxima are accumulated level by level (months; the minutes of a month, the seconds of
+a minute, the milliseconds of a second, the microseconds of a millisecond, then delivery ids by 16 bits at a time),
+each window within one slot of the level above, so that none holds more than 65,536 slots (of months there are
+twelve a year). Slots are minutes, and finer, down to blocks of 65,536 delivery ids in one microsecond, only if some
+slot would hold more than ``HOT_ROWS`` rows. Only then rows are ordered, within their slot.
 
 Aggregates form a triangle of event period by arrival period: each cell is summed, and windows
 accumulate the cells of an event period across arrivals, so every revision it ever had comes out.
@@ -23,12 +25,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from driftline import scratch
+
 LATENESS = "INTERVAL 30 SECONDS"
 CUTOFF = "INTERVAL 2 DAYS"
-#: A slot is hot above both of these: rows, and one part in so many of all rows (which bounds the number of hot slots).
+#: Slots are made finer while one holds more rows than this.
 HOT_ROWS = 1_000_000
-HOT_PART = 10_000
-BLOCK = 65_536
+
+_US = "unix_micros(received_at)"
+_ID = "coalesce(delivery_id, -9223372036854775808)"
+#: Levels of arrival, from coarse to fine: each slot lies in one of the level before, which has at most 65,536 of it.
+LEVELS = (
+    "year(received_at) * 12L + month(received_at)",
+    f"({_US} - pmod({_US}, 60000000)) div 60000000",
+    f"({_US} - pmod({_US}, 1000000)) div 1000000",
+    f"({_US} - pmod({_US}, 1000)) div 1000",
+    _US,
+    f"shiftright({_ID}, 48)",
+    f"shiftright({_ID}, 32)",
+    f"shiftright({_ID}, 16)",
+)
+#: Up to here a slot's number alone says which it is, and in which coarser ones it lies; beyond, within its microsecond.
+MINUTE, MICROSECOND = 1, 4
+
+
+def _slots(events: DataFrame, level: int) -> DataFrame:
+    """Rows and greatest occurred_at of each slot of ``level``: p0 ... p<level>, n, top."""
+    path = ", ".join(f"{LEVELS[i]} AS p{i}" for i in range(level + 1))
+    return events.sparkSession.sql(f"SELECT {path}, count(*) AS n, max(occurred_at) AS top FROM {{e}} GROUP BY ALL", e=events)
+
+
+def _before(slots: DataFrame, level: int) -> DataFrame:
+    """p0 ... p<level>, ``before``: the greatest occurred_at of all slots before each."""
+    spark, out = slots.sparkSession, None
+    for k in range(level + 1):
+        path, above = ", ".join(f"p{i}" for i in range(k + 1)), ", ".join(f"p{i}" for i in range(k))
+        inside = f"max(top) OVER ({f'PARTITION BY {above}' if k else ''} ORDER BY p{k} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        here = spark.sql(f"SELECT {path}, {inside} AS inside FROM (SELECT {path}, max(top) AS top FROM {{s}} GROUP BY ALL)", s=slots)
+        if out is None:
+            out = here.withColumnRenamed("inside", "before")
+        else:
+            same = " AND ".join(f"h.p{i} <=> b.p{i}" for i in range(k))
+            out = spark.sql(f"SELECT {', '.join(f'h.p{i}' for i in range(k + 1))}, greatest(b.before, h.inside) AS before FROM {{h}} h JOIN {{b}} b ON {same}", h=here, b=out)
+    return out
 
 
 def classify(events: DataFrame, hot_rows: int = HOT_ROWS, floor: str | None = None) -> DataFrame:
@@ -36,41 +75,30 @@ def classify(events: DataFrame, hot_rows: int = HOT_ROWS, floor: str | None = No
 
     ``floor`` (yyyy-mm-dd hh:mm:ss.ffffff, UTC) is the watermark reached before all these rows, by earlier batches.
     """
-    spark = events.sparkSession
+    spark, level = events.sparkSession, MINUTE
+    events = events.drop("watermark", "fate")
     start = f"CAST('{floor}' AS TIMESTAMP)" if floor else "CAST(NULL AS TIMESTAMP)"
+    while True:
+        slots = scratch.table(_slots(events, level), "arrival-slots")
+        if level == len(LEVELS) - 1 or not slots.where(f"n > {hot_rows}").limit(1).count():
+            break
+        scratch.drop(slots)
+        level += 1
+    # What tells a row's slot: its time, and beyond the microsecond its block of delivery ids.
+    keys = [min(level, MICROSECOND), *([level] if level > MICROSECOND else [])]
+    own = ", ".join(f"{LEVELS[k]} AS __p{k}" for k in keys)
+    same = " AND ".join(f"e.__p{k} <=> b.p{k}" for k in keys)
+    slot = ", ".join(f"e.__p{k}" for k in keys)
     return spark.sql(f"""
-        WITH minutes AS (
-            SELECT date_trunc('MINUTE', received_at) AS slot_minute, count(*) AS n FROM {{events}} GROUP BY 1
-        ), hot AS (
-            SELECT slot_minute AS hot_minute FROM minutes
-            WHERE n > {hot_rows} AND n > (SELECT coalesce(sum(n), 0) FROM minutes) / {HOT_PART}
-        ), slotted AS (
-            SELECT e.*,
-                   CASE WHEN h.hot_minute IS NULL THEN date_trunc('MINUTE', e.received_at) ELSE e.received_at END AS __slot,
-                   CASE WHEN h.hot_minute IS NULL THEN 0L ELSE e.delivery_id div {BLOCK} END AS __block
-            FROM {{events}} e LEFT JOIN (SELECT /*+ BROADCAST(hot) */ hot_minute FROM hot) h
-                 ON date_trunc('MINUTE', e.received_at) = h.hot_minute
-        ), slots AS (
-            SELECT __slot AS slot, __block AS block, to_date(__slot) AS slot_day, max(occurred_at) AS top FROM slotted GROUP BY 1, 2, 3
-        ), days AS (
-            SELECT slot_day, max(max(top)) OVER (ORDER BY slot_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_day
-            FROM slots GROUP BY slot_day
-        ), before AS (
-            SELECT s.slot, s.block,
-                   greatest(d.before_day, max(s.top) OVER (PARTITION BY s.slot_day ORDER BY s.slot, s.block
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before_slot
-            FROM slots s LEFT JOIN days d ON s.slot_day <=> d.slot_day
-        ), marked AS (
-            SELECT e.*,
-                   greatest({start}, b.before_slot, max(e.occurred_at) OVER (PARTITION BY e.__slot, e.__block
-                            ORDER BY e.received_at, e.delivery_id
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS watermark
-            FROM slotted e LEFT JOIN before b ON e.__slot <=> b.slot AND e.__block <=> b.block
+        WITH marked AS (
+            SELECT e.*, greatest({start}, b.before, max(e.occurred_at) OVER (PARTITION BY {slot} ORDER BY e.received_at, e.delivery_id
+                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS watermark
+            FROM (SELECT *, {own} FROM {{events}}) e JOIN {{before}} b ON {same}
         )
-        SELECT * EXCEPT (__slot, __block),
+        SELECT * EXCEPT ({", ".join(f"__p{k}" for k in keys)}),
                CASE WHEN occurred_at < watermark - {CUTOFF} THEN 'dropped'
                     WHEN occurred_at < watermark - {LATENESS} THEN 'corrects' ELSE 'on_time' END AS fate
-        FROM marked""", events=events.drop("watermark", "fate"))
+        FROM marked""", events=events, before=_before(slots, level))
 
 
 def late_rows(classified: DataFrame) -> DataFrame:

@@ -107,6 +107,26 @@ def test_lateness_is_per_event_in_arrival_order(spark, pairs, hot_rows):
     assert got == simulate(data)
 
 
+def test_hot_slots_are_split_and_no_window_holds_more_than_a_level(spark):
+    # Every minute is hot: 40,000 rows in each of three microseconds, ids far apart in one of them.
+    n = 120_000
+    df = spark.range(n).select(
+        (F.col("id") * F.when(F.col("id") % 3 == 0, 1 << 33).otherwise(1)).alias("delivery_id"), F.lit("t").alias("tenant_id"), F.lit("e").alias("event_type"), F.lit(1.0).alias("value"),
+        F.timestamp_seconds((F.col("id") * 7919) % 300_000).alias("occurred_at"), F.timestamp_micros(F.lit(1_000_000_000_000_000) + F.col("id") % 3).alias("received_at"))
+    level = len(late_events.LEVELS) - 1
+    slots = late_events._slots(df, level)
+    for k in range(1, level + 1):
+        above = [f"p{i}" for i in range(k)]
+        assert slots.select(*above, f"p{k}").distinct().groupBy(*above).count().agg(F.max("count")).first()[0] <= 65_536
+    got = {r.delivery_id: r.fate for r in late_events.classify(df, 1000).collect()}
+    want, top = {}, None
+    for r in sorted(df.collect(), key=lambda r: (r.received_at, r.delivery_id)):
+        behind = 0 if top is None else (top - r.occurred_at).total_seconds()
+        want[r.delivery_id] = "dropped" if behind > 2 * 86400 else "corrects" if behind > 30 else "on_time"
+        top = r.occurred_at if top is None else max(top, r.occurred_at)
+    assert got == want
+
+
 def test_boundaries(spark):
     data = [(1, 1000, 0), (2, 970, 1), (3, 969, 2), (4, 1060, 3), (5, 1060 - 2 * 86400, 4), (6, 1059 - 2 * 86400, 5), (7, 1060, 5)]
     got = {r.delivery_id: r.fate for r in late_events.classify(frame(spark, data)).collect()}
