@@ -51,7 +51,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    docs = scratch.table(prose_model.coded(spread(read(spark, d, "documents").select("doc_id", "text"))), "prose-codes")
     return prose_model.score(docs, prose_model.train(docs))
 
 
