@@ -50,10 +50,13 @@ def combine(partials: DataFrame, groups: list[str]) -> DataFrame:
         F.when(F.min("value") >= 0, F.min("value")).otherwise(F.max("value")).alias("value"), F.sum("n").alias("n"))
 
 
-def percentiles(partials: DataFrame, groups: list[str], permille: list[int] | None = None) -> DataFrame:
-    """(groups, values, p10, p50, p90, p99) from partials of any number of parts."""
+def percentiles(partials: DataFrame, groups: list[str], permille: list[int] | None = None, one_part: bool = False) -> DataFrame:
+    """(groups, values, p10, p50, p90, p99) from partials of any number of parts.
+
+    ``one_part``: ``partials`` is a single :func:`partial` by these very groups, so there is nothing to add up.
+    """
     permille = permille or PERMILLE
-    merged = scratch.table(combine(partials, groups), "percentile-counts")
+    merged = scratch.table(partials if one_part else combine(partials, groups), "percentile-counts")
     sizes = merged.groupBy(*groups).agg(F.sum("n").alias("values"))
 
     def section(_: int):

@@ -1,11 +1,13 @@
-"""Queries p1 and p8 to p10, and their SQL where SQL can say it."""
+"""Queries p1, p3 and p8 to p10, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftline import scratch
-from driftline.llm import bpe_automaton, mixing, pii_bootstrap, prose_model
+from driftline.llm import bpe_automaton, mixing, percentiles, pii_bootstrap, prose_model
+from driftline.plans.core import _ranked
 from driftline.sources.tables import read, spread
 
 
@@ -24,6 +26,23 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii_bootstrap.redact(texts, reader)
 
 
+def p3_tenant_type_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    groups = ["tenant_id", "event_type"]
+    return percentiles.percentiles(percentiles.partial(read(spark, d, "usage_events"), groups, "value"), groups, one_part=True)
+
+
+def p3_type_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    part = percentiles.partial(read(spark, d, "usage_events"), ["event_type"], "value")
+    return percentiles.percentiles(part, ["event_type"], one_part=True)
+
+
+def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per event type from the partial results of each day, combined afterwards."""
+    events = read(spark, d, "usage_events").withColumn("day", F.to_date("received_at"))
+    daily = scratch.table(percentiles.partial(events, ["day", "tenant_id", "event_type"], "value"), "daily-partials")
+    return percentiles.percentiles(daily, ["event_type"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe_automaton.encode(spread(read(spark, d, "documents").select("doc_id", "text")))
 
@@ -59,8 +78,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("flagged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_tenant_type_percentiles, p3_type_percentiles, p3_combined_days, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_scores)}
 
 ORACLE = {
+    "p3_tenant_type_percentiles": _ranked("tenant_id, event_type", [100, 500, 900, 990]),
+    "p3_type_percentiles": _ranked("event_type", [100, 500, 900, 990]),
+    "p3_combined_days": _ranked("event_type", [100, 500, 900, 990]),
     "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
