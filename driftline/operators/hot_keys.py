@@ -19,35 +19,39 @@ from driftline import scratch
 from driftline.functions.ordered import exact_sum, usable, with_code
 from driftline.operators import ranks
 
-DIGIT = 16
 PERMILLE = [500, 900, 990]
 
 
+def _values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): -0.0 and NaN are settled before grouping, one value, one group."""
+    v = F.col(value).cast("double")
+    return df.select(F.col(key).alias("key"), F.when(usable(v), F.when(v == 0.0, F.lit(0.0)).otherwise(v)).alias("value"))
+
+
+def histograms(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, cell, n): each key's value histogram of at most 65,537 cells (null is one), counted before the shuffle.
+
+    The first of the refinement's passes, straight from the scan. Histograms of parts add up.
+    """
+    return with_code(_values(df, key, value), "value", "code").groupBy("key", ranks.first_digit().alias("cell")).agg(F.count("*").alias("n"))
+
+
 def profile(df: DataFrame, key: str, value: str, permille: list[int] | None = None) -> DataFrame:
     """(key, rows, values, total, p50, p90, p99): all keys, percentiles by nearest rank, exact."""
     permille = permille or PERMILLE
-    v = F.col(value).cast("double")
-    # -0.0 and NaN are settled before grouping: one value, one group.
-    v = F.when(usable(v), F.when(v == 0.0, F.lit(0.0)).otherwise(v))
-    counted = df.select(F.col(key).alias("key"), v.alias("value")).groupBy("key", "value").agg(F.count("*").alias("n"))
+    counted = _values(df, key, value).groupBy("key", "value").agg(F.count("*").alias("n"))
     counted = scratch.table(with_code(counted, "value", "code"), "hot-counts")
     totals = counted.groupBy("key").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("values"),
         exact_sum(F.col("value"), F.col("n")).alias("total"))
-    mask = (1 << DIGIT) - 1
-
-    def digit(i: int):
-        return F.shiftright(F.col("code"), 64 - DIGIT * (i + 1)).bitwiseAND(F.lit(mask).cast("long"))
-
-    picked = ranks.resolve(counted.where("value is not null"), ["key"], permille,
-                           lambda: F.shiftright(F.col("code"), 64 - DIGIT), digit)
+    picked = ranks.nearest(counted.where("value is not null"), ["key"], permille)
     out = totals.join(ranks.wide(picked, ["key"], permille).withColumnRenamed("key", "__k"),
                       F.col("key").eqNullSafe(F.col("__k")), "left")
     return out.select(F.col("key").alias(key), "rows", "values", "total", *[ranks.column_of(p) for p in permille])
 
 
-def hot(profiled: DataFrame, share: float) -> DataFrame:
-    """Keys of a :func:`profile` with at least ``share`` of all rows."""
-    profiled = scratch.table(profiled, "hot-profile")
-    total = profiled.agg(F.sum("rows")).first()[0] or 0
-    return profiled.where(F.col("rows") >= F.lit(share * total))
+def hot(counts: DataFrame, share: float) -> DataFrame:
+    """(key, n): keys of :func:`histograms` with at least ``share`` of all rows, by the totals of their histograms."""
+    totals = scratch.table(counts.groupBy("key").agg(F.sum("n").alias("n")), "hot-totals")
+    every = totals.agg(F.sum("n")).first()[0] or 0
+    return totals.where(F.col("n") >= F.lit(share * every))

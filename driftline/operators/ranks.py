@@ -80,6 +80,20 @@ def resolve(weighted: DataFrame, groups: list[str], permille: list[int], first_c
     return out
 
 
+#: Bits of the order code that one pass of :func:`nearest` looks at.
+DIGIT = 16
+
+
+def first_digit() -> Column:
+    return F.shiftright(F.col("code"), 64 - DIGIT)
+
+
+def nearest(weighted: DataFrame, groups: list[str], permille: list[int]) -> DataFrame:
+    """:func:`resolve` by histograms of 65,536 cells, refined digit by digit of the order code."""
+    mask = F.lit((1 << DIGIT) - 1).cast("long")
+    return resolve(weighted, groups, permille, first_digit, lambda i: F.shiftright(F.col("code"), 64 - DIGIT * (i + 1)).bitwiseAND(mask))
+
+
 def wide(resolved: DataFrame, groups: list[str], permille: list[int]) -> DataFrame:
     """One row per group, one column p<permille/10> per rank."""
     return resolved.groupBy(*groups).agg(

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline import scratch
+from driftline.functions.ordered import usable, with_code
+from driftline.operators import ranks
+
 # Histogram bounds in seconds, and the error budget.
 HTTP_BUCKETS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.5, 10.0]
 OLAP_BUCKETS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
@@ -83,26 +87,27 @@ def by_status(metrics: DataFrame, width: str = "5 minutes") -> DataFrame:
     return requests(metrics).groupBy(F.window("ts", width).start.alias("bucket_ts"), "status").agg(F.count("*").alias("increase"))
 
 
+def nearest_ranks(samples: DataFrame, by: str, value: str, permille: list[int]) -> DataFrame:
+    """(by, permille, value): nearest-rank percentiles of each group, exact, from histograms over all groups at once."""
+    v = F.col(value).cast("double")
+    counted = samples.where(usable(v)).select(by, F.when(v == 0.0, F.lit(0.0)).otherwise(v).alias("value")).groupBy(by, "value").agg(F.count("*").alias("n"))
+    return ranks.nearest(scratch.table(with_code(counted, "value", "code"), "slo-counts"), [by], permille)
+
+
 def thresholds(metrics: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """(path, q, value, ok): the nearest-rank percentile of each path against its limit (permille, seconds)."""
-    from driftline.operators import percentiles
-    out = None
-    for path, (permille, most) in limits.items():
-        part = percentiles.partial(metrics.where(F.col("path") == path), ["path"], "duration")
-        got = percentiles.percentiles(part, ["path"], [int(permille)])
-        col = got.columns[-1]
-        got = got.select("path", F.lit(permille / 1000).alias("q"), F.col(col).alias("value"), (F.col(col) < most).alias("ok"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = nearest_ranks(metrics.where(F.col("path").isin(list(limits))), "path", "duration", sorted({int(p) for p, _ in limits.values()}))
+    asked = metrics.sparkSession.createDataFrame([(path, int(p), float(most)) for path, (p, most) in limits.items()], "path string, permille int, most double")
+    return got.join(F.broadcast(asked), ["path", "permille"]).select(  # as many rows as limits were given
+        "path", (F.col("permille") / 1000).alias("q"), "value", (F.col("value") < F.col("most")).alias("ok"))
 
 
 def summary(timings: DataFrame) -> DataFrame:
     """(metric, min, median, max); the median of an even number is the upper one.
 
-    The upper median is the negated lower median of the negated values, which the exact percentile
-    operator finds without gathering a metric's values.
+    The upper median is the negated lower median of the negated values, which exact selection finds without
+    gathering a metric's values.
     """
-    from driftline.operators import percentiles
-    low = percentiles.percentiles(percentiles.partial(timings.select("metric", (-F.col("value")).alias("value")), ["metric"], "value"), ["metric"], [500])
+    low = nearest_ranks(timings.select("metric", (-F.col("value")).alias("value")), "metric", "value", [500])
     ends = timings.groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    return ends.join(low, "metric").select("metric", "min", (-F.col("p50")).alias("median"), "max")
+    return ends.join(low.select("metric", (-F.col("value")).alias("median")), "metric").select("metric", "min", "median", "max")

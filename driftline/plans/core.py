@@ -1,4 +1,4 @@
-"""Queries p2 to p7: skew, percentiles, deduplication, lateness, features, trailing totals."""
+"""Queries p2 and p4 to p7: skew, deduplication, lateness, features, trailing totals."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline import scratch
-from driftline.operators import features, hot_keys, late_events, percentiles, trailing
+from driftline.operators import features, hot_keys, late_events, trailing
 from driftline.operators.message_store import MessageStore
 from driftline.sources.tables import read
 
@@ -18,8 +18,7 @@ def _ntz(c: str):
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    profiled = hot_keys.profile(read(spark, d, "usage_events"), "tenant_id", "value")
-    return hot_keys.hot(profiled, HOT_SHARE).select("tenant_id")
+    return hot_keys.hot(hot_keys.histograms(read(spark, d, "usage_events"), "tenant_id", "value"), HOT_SHARE).select(F.col("key").alias("tenant_id"))
 
 
 def p2_tenant_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -32,23 +31,6 @@ def p2_tenant_load(spark: SparkSession, d: str) -> DataFrame:
                       F.col("p50").cast("long").alias("median_week"))
 
 
-def p3_tenant_type_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    groups = ["tenant_id", "event_type"]
-    return percentiles.percentiles(percentiles.partial(read(spark, d, "usage_events"), groups, "value"), groups)
-
-
-def p3_type_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    part = percentiles.partial(read(spark, d, "usage_events"), ["event_type"], "value")
-    return percentiles.percentiles(part, ["event_type"])
-
-
-def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per event type from the partial results of each day, combined afterwards."""
-    events = read(spark, d, "usage_events").withColumn("day", F.to_date("received_at"))
-    daily = scratch.table(percentiles.partial(events, ["day", "tenant_id", "event_type"], "value"), "daily-partials")
-    return percentiles.percentiles(daily, ["event_type"])
-
-
 #: Runs in which all deliveries are upserted.
 RUNS = 4
 
@@ -120,7 +102,7 @@ def p7_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_tenant_profile, p2_tenant_load, p3_tenant_type_percentiles, p3_type_percentiles, p3_combined_days, p4_found,
+    p2_found, p2_tenant_profile, p2_tenant_load, p4_found,
     p4_messages, p5_found, p5_revisions, p6_features, p6_by_type, p7_found, p7_trailing)}
 
 _SUM = "coalesce(cast(sum(cast(value as decimal(28,4))) as double), 0)"
@@ -167,9 +149,6 @@ ORACLE = {
         SELECT tenant_id, count(*) AS weeks, cast(sum(events) as bigint) AS load, max(events) FILTER (WHERE r = (n * 500 + 999) // 1000) AS median_week
         FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY events) AS r, count(*) OVER (PARTITION BY tenant_id) AS n FROM tenant_load)
         GROUP BY 1""",
-    "p3_tenant_type_percentiles": _ranked("tenant_id, event_type", [100, 500, 900, 990]),
-    "p3_type_percentiles": _ranked("event_type", [100, 500, 900, 990]),
-    "p3_combined_days": _ranked("event_type", [100, 500, 900, 990]),
     "p4_found": f"SELECT tenant_id, {_UUID} AS event_id FROM usage_events GROUP BY ALL HAVING count(*) > 1",
     "p4_messages": f"""
         SELECT tenant_id, event_id, delivery_id, occurred_at, batch_id, copies FROM (

@@ -2,12 +2,10 @@ import math
 import random
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftline.functions.ordered import with_code
-from driftline.operators import hot_keys, joins, percentiles, ranks
+from driftline.operators import hot_keys, joins, ranks
 from tests.conftest import rows
 
 SCHEMA = "tenant_id string, value double, code string, n int, cell int"  # the last three clash with inner names
@@ -52,48 +50,20 @@ def test_profile_matches_brute_force(skewed):
 
 def test_hot_keys(skewed, spark):
     data, df = skewed
-    assert [r.tenant_id for r in hot_keys.hot(hot_keys.profile(df, "tenant_id", "value"), 0.5).collect()] == ["hot"]
+    assert [(r.key, r.n) for r in hot_keys.hot(hot_keys.histograms(df, "tenant_id", "value"), 0.5).collect()] == [("hot", 900)]
+
+
+def test_histograms_of_parts_add_up(skewed):
+    _, df = skewed
+    one, two = df.randomSplit([0.5, 0.5], seed=1)
+    both = hot_keys.histograms(one, "tenant_id", "value").unionByName(hot_keys.histograms(two, "tenant_id", "value")).groupBy("key", "cell").agg(F.sum("n").alias("n"))
+    assert rows(both) == rows(hot_keys.histograms(df, "tenant_id", "value"))
 
 
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hot_keys.profile(empty, "tenant_id", "value").count() == 0
-    assert hot_keys.hot(hot_keys.profile(empty, "tenant_id", "value"), 0.02).count() == 0
-    assert percentiles.percentiles(percentiles.partial(empty, ["tenant_id"], "value"), ["tenant_id"]).count() == 0
-
-
-def test_percentiles_combine_over_any_split(skewed, spark):
-    data, df = skewed
-    parts = None
-    for i, piece in enumerate(df.randomSplit([0.2, 0.5, 0.3], seed=3)):
-        p = percentiles.partial(piece.withColumn("day", F.lit(i)), ["day", "tenant_id"], "value")
-        parts = p if parts is None else parts.unionByName(p)
-    got = {r.tenant_id: r for r in percentiles.percentiles(parts, ["tenant_id"]).collect()}
-    for key in {t for t, _ in data}:
-        ok = [v for t, v in data if t == key and v is not None and not math.isnan(v)]
-        if not ok:
-            assert key not in got
-            continue
-        assert [got[key][c] for c in ("p10", "p50", "p90", "p99")] == [nearest(ok, p) for p in (100, 500, 900, 990)]
-        assert got[key]["values"] == len(ok)
-
-
-def test_rounded_partials_keep_their_bound(skewed):
-    data, df = skewed
-    got = {r.tenant_id: r for r in percentiles.percentiles(percentiles.partial(df, ["tenant_id"], "value", mantissa_bits=6), ["tenant_id"]).collect()}
-    for key in ("hot", "t1", "tie"):
-        ok = [v for t, v in data if t == key]
-        for c, p in (("p10", 100), ("p50", 500), ("p99", 990)):
-            exact = nearest(ok, p)
-            assert abs(got[key][c] - exact) <= abs(exact) * 2**-6
-
-
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(allow_nan=False, width=64), min_size=1, max_size=40))
-def test_any_doubles(spark, values):
-    df = spark.createDataFrame([("a", v) for v in values], "g string, value double")
-    r = percentiles.percentiles(percentiles.partial(df, ["g"], "value"), ["g"], [1, 500, 1000]).first()
-    assert [r["p0_1"], r["p50"], r["p100"]] == [nearest(values, p) for p in (1, 500, 1000)]
+    assert hot_keys.hot(hot_keys.histograms(empty, "tenant_id", "value"), 0.02).count() == 0
 
 
 @pytest.mark.parametrize("limit", [100, 0])
