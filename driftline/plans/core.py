@@ -38,15 +38,18 @@ RUNS = 4
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     """All deliveries, upserted as runs by range of receipt; copies in different runs meet in storage, by compaction."""
     events = read(spark, d, "usage_events")
-    at = F.unix_micros(F.col("received_at").cast("timestamp"))
-    cuts = events.agg(F.percentile_approx(at, [i / RUNS for i in range(1, RUNS)]).alias("c")).first()["c"] or []
+    at = F.col("received_at").cast("timestamp")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(at), [i / RUNS for i in range(1, RUNS)]).alias("c")).first()["c"] or []
     store = MessageStore(spark)
     edges = [None, *sorted(set(cuts)), None]
     for i, (low, high) in enumerate(zip(edges, edges[1:])):
-        within = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        # Compared as timestamps, so that the range reaches the scan.
+        within = (F.lit(True) if low is None else at > F.timestamp_micros(F.lit(low))) & (F.lit(True) if high is None else at <= F.timestamp_micros(F.lit(high)))
         store.upsert(events.where(within | at.isNull() if i == 0 else within), f"received_{i}")
     store.compact()
-    return store.messages()
+    messages = store.messages()
+    store.close()
+    return messages
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,61 @@ def test_upserts_are_idempotent_and_runs_merge(spark):
     assert ("a", "y", 2, 2) in rows(store.messages(), "tenant_id", "event_id", "delivery_id", "copies")
 
 
+COUNTED = ("tenant_id", "event_id", "delivery_id", "copies")
+
+
+def test_a_store_is_opened_again_and_merged_batches_count_once(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    a, b = (spark.createDataFrame(x, MSG) for x in ([msg(1, U, at=5), msg(2, "y")], [msg(3, U, at=1), msg(4, "z")]))
+    first = MessageStore(spark, path, buckets=4)
+    first.upsert(a, "one")
+    first.close()
+    again = MessageStore(spark, path)
+    assert again.buckets == 4 and list(again.runs.values()) == [["one"]]
+    again.upsert(b, "two")
+    want = sorted([("a", U, 3, 2), ("a", "y", 2, 1), ("a", "z", 4, 1)], key=repr)
+    assert rows(MessageStore(spark, path).messages(), *COUNTED) == want
+    again.compact()
+    again.upsert(a, "one")
+    again.upsert(b, "two")
+    assert rows(MessageStore(spark, path).messages(), *COUNTED) == want
+
+
+def test_a_crash_leaves_what_was_committed(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    a, b = (spark.createDataFrame(x, MSG) for x in ([msg(1, U, at=5)], [msg(3, U, at=1), msg(4, "z")]))
+    store = MessageStore(spark, path, buckets=4)
+    store.upsert(a, "one")
+    store.upsert(b, "two")
+    want = rows(store.messages(), *COUNTED)
+
+    def crash(self, runs):
+        raise RuntimeError("crash")
+
+    for step in (lambda s: s.compact(), lambda s: s.upsert(a, "one"), lambda s: s.upsert(b, "three")):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(MessageStore, "_commit", crash)
+            step(MessageStore(spark, path))
+        assert rows(MessageStore(spark, path).messages(), *COUNTED) == want
+    after = MessageStore(spark, path)
+    after.compact()
+    assert rows(after.messages(), *COUNTED) == want
+    assert len(list((tmp_path / "store" / "runs").glob("run=*"))) == 1  # what no manifest names is gone
+
+
+def test_a_run_takes_one_exchange_and_a_file_per_bucket(spark, tmp_path):
+    store = MessageStore(spark, f"file://{tmp_path}/store", buckets=4)
+    many = spark.range(400).select(F.col("id").alias("delivery_id"), F.concat(F.lit("m"), F.col("id") % 100).alias("event_id"), F.lit("a").alias("tenant_id"),
+                                   F.lit(T0).alias("occurred_at"), F.lit(1).cast("long").alias("batch_id"), F.lit(T0).alias("received_at"))
+    store.upsert(many, "one")
+    assert len(list((tmp_path / "store" / "runs").glob("run=*/*.parquet"))) <= 4
+    store.upsert(many, "two")
+    assert "Exchange" not in store.messages()._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    store.compact()
+    assert store.messages().agg(F.sum("copies"), F.count("*")).first()[:] == (800, 100)
+
+
 def test_compacted_buckets_are_read_without_a_shuffle(spark):
     store = MessageStore(spark, buckets=4)
     store.upsert(spark.createDataFrame([msg(1, U)], MSG), "one")
