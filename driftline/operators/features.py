@@ -38,6 +38,10 @@ def partials(events: DataFrame, entity: str = "tenant_id") -> DataFrame:
     )
 
 
+def _start(day: dt.date) -> dt.datetime:
+    return dt.datetime.combine(day, dt.time(), dt.timezone.utc)
+
+
 class FeatureStore:
     """Day buckets of partial aggregates under ``path``."""
 
@@ -50,10 +54,15 @@ class FeatureStore:
         Buckets of other days are not touched. A bucket whose events are gone is removed.
         """
         if days is not None:
+            if not days:
+                return
+            # The range reaches the scan; the list leaves out days between.
+            events = events.where((F.col("occurred_at") >= F.lit(_start(min(days)))) & (F.col("occurred_at") < F.lit(_start(max(days) + dt.timedelta(days=1)))))
             events = events.where(F.to_date("occurred_at").isin(days))
             for d in days:
                 scratch.remove(self.spark, f"{self.path}/day={d.isoformat()}")
-        (partials(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # Rebalanced, so that a day is a few files, and a busy day more than one task.
+        (partials(events).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("day").parquet(self.path))
 
     def changed_days(self, arrived: DataFrame) -> list[dt.date]:
@@ -76,10 +85,10 @@ class FeatureStore:
         first = since.date() if since else None
         if events is not None:
             # as_of may be inside its day, and since inside its own: those days come from the events.
-            edge = F.to_date("occurred_at") == F.lit(as_of.date())
+            edge = F.col("occurred_at") >= F.lit(_start(as_of.date()))
             parts = parts.where(F.col("day") < F.lit(as_of.date()))
             if first:
-                edge = edge | (F.to_date("occurred_at") == F.lit(first))
+                edge = edge | (F.col("occurred_at") < F.lit(_start(first + dt.timedelta(days=1))))
                 parts = parts.where(F.col("day") > F.lit(first))
             span = (F.col("occurred_at") <= F.lit(as_of)) & edge
             if since:

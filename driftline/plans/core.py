@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,28 +73,52 @@ def p5_revisions(spark: SparkSession, d: str) -> DataFrame:
         "tenant_id", "event_type", _ntz("period_start"), _ntz("arrival_start"), F.col("revision").cast("long").alias("revision"), "event_count", "sum_value", "late_count", "is_final")
 
 
+#: Permille of deliveries, by receipt, that are loaded first; the rest arrives afterwards.
+LOADED_FIRST = 900
+
+
 def _feature_store(spark: SparkSession, d: str):
-    events = read(spark, d, "usage_events").select("tenant_id", "event_type", "value", "occurred_at")
+    """(store, as_of, events): all days of the first deliveries were loaded, then only the days that the later ones change.
+
+    as_of is the last event's time, within its day, whose events come from the events themselves.
+    """
+    events = read(spark, d, "usage_events").select("tenant_id", "event_type", "value", "occurred_at", "received_at")
+    at = F.col("received_at").cast("timestamp")
+    ends = events.agg(F.percentile_approx(F.unix_micros(at), LOADED_FIRST / 1000).alias("cut"), F.max(F.unix_micros(F.col("occurred_at").cast("timestamp"))).alias("last")).first()
+    as_of = dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(microseconds=ends["last"] or 0)
     store = features.FeatureStore(spark)
-    store.load(events)
-    as_of = store.buckets().agg(F.max("last_at")).first()[0]
-    return store, as_of
+    later = at > F.timestamp_micros(F.lit(ends["cut"]))
+    store.load(events.where(~F.coalesce(later, F.lit(False))))
+    store.load(events, store.changed_days(events.where(later)))
+    return store, as_of, events
 
 
 def p6_features(spark: SparkSession, d: str) -> DataFrame:
-    store, as_of = _feature_store(spark, d)
-    return store.features(as_of).withColumnRenamed("entity", "tenant_id")
+    store, as_of, events = _feature_store(spark, d)
+    return store.features(as_of, events=events).withColumnRenamed("entity", "tenant_id")
 
 
 def p6_by_type(spark: SparkSession, d: str) -> DataFrame:
-    store, as_of = _feature_store(spark, d)
-    got = store.by_type(as_of)
+    store, as_of, events = _feature_store(spark, d)
+    got = store.by_type(as_of, events=events)
     return got.select(F.col("entity").alias("tenant_id"), "event_type", F.col("n").alias("event_count"), F.col("total").alias("total_value"),
                       ((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("last_at")) / 1e6).alias("recency_s"))
 
 
+#: Batches in which the rollup's rows reach the trailing totals.
+BATCHES = 4
+
+
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
-    return trailing.build(scratch.table(trailing.daily(read(spark, d, "tenant_daily_stats")), "daily"))
+    """State after the rollup's rows came in batches by range of inserted_at: later batches bring new days and correct old ones."""
+    stats = read(spark, d, "tenant_daily_stats")
+    at = F.col("inserted_at").cast("timestamp")
+    cuts = stats.agg(F.percentile_approx(F.unix_micros(at), [i / BATCHES for i in range(1, BATCHES)]).alias("c")).first()["c"] or []
+    store, edges = trailing.TrailingStore(spark), [None, *sorted(set(cuts)), None]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        within = (F.lit(True) if low is None else at > F.timestamp_micros(F.lit(low))) & (F.lit(True) if high is None else at <= F.timestamp_micros(F.lit(high)))
+        store.apply(stats.where(within | at.isNull() if i == 0 else within))
+    return store.state()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

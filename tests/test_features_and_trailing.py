@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from driftline.operators import features, trailing
+from driftline.plans import core
 from tests.conftest import rows
 
 T0 = dt.datetime(2025, 5, 1)
@@ -56,6 +57,19 @@ def test_edges_of_a_span_come_from_the_events(spark):
     assert got == [("a", "x", 2)]
 
 
+def test_queries_load_changed_days_only(spark, monkeypatch):
+    received = "tenant_id string, event_type string, value double, occurred_at timestamp, received_at timestamp"
+    data = [(f"t{i % 3}", "x", float(i), T0 + dt.timedelta(hours=7 * i), T0 + dt.timedelta(hours=7 * i, minutes=1)) for i in range(40)]
+    loaded, load = [], features.FeatureStore.load
+    monkeypatch.setattr(features.FeatureStore, "load", lambda self, events, days=None: (loaded.append(days), load(self, events, days))[1])
+    monkeypatch.setattr(core, "read", lambda spark, d, t: spark.createDataFrame(data, received))
+    got = rows(core.p6_by_type(spark, ""), "tenant_id", "event_count", "total_value")
+    assert got == [(f"t{k}", len(range(k, 40, 3)), float(sum(range(k, 40, 3)))) for k in range(3)]
+    assert loaded[0] is None and 0 < len(loaded[1]) < 4
+    monkeypatch.setattr(core, "read", lambda spark, d, t: spark.createDataFrame([], received))
+    assert core.p6_features(spark, "").count() == 0
+
+
 def test_no_events(spark):
     store = features.FeatureStore(spark)
     store.load(spark.createDataFrame([], EV))
@@ -118,5 +132,32 @@ def test_trailing_matches_brute_force_and_corrections(spark):
     assert rows(step.where("entity = 'a'"), *cols) == rows(state.where((F.col("entity") == "a") & (F.col("day") == F.lit(last))), *cols)
 
 
+def test_store_equals_a_rebuild_after_every_batch(spark, tmp_path):
+    random.seed(8)
+    d0, sent = dt.date(2025, 3, 1), []
+    store = trailing.TrailingStore(spark, f"file://{tmp_path}/t")
+    cols = ["entity", "day", "n", "v", "n_7", "v_7", "n_30", "v_30"]
+    for batch in range(5):
+        new = []
+        for _ in range(30):  # any day: new ones, corrections, before the first and after the last, to zero and back
+            k, n = random.randint(max(0, 20 - 10 * batch), 30 + 20 * batch), random.choice([0, 0, 1, 3, 7])
+            at = T0 + dt.timedelta(hours=batch if random.random() < 0.8 else batch - 2, seconds=len(new))
+            new.append((random.choice("abc"), random.choice(["x", None]), d0 + dt.timedelta(days=k), n, random.choice([None, 1.25, -3.5]), at, 1, "c"))
+        if batch == 3:  # an entity that is no longer active at all, and one whose last days go
+            new += [(t, e, d0 + dt.timedelta(days=k), 0, 0.5, T0 + dt.timedelta(hours=9), 1, "c") for t, first in (("c", 0), ("b", 50)) for e in ("x", None) for k in range(first, 120)]
+        sent += new
+        if batch == 4:
+            store = trailing.TrailingStore(spark, f"file://{tmp_path}/t")  # opened again
+        store.apply(spark.createDataFrame(new, ST))
+        assert rows(store.state(), *cols) == rows(trailing.build(trailing.daily(spark.createDataFrame(sent, ST))), *cols)
+    assert store.version == 5 and store.state().where("version < 5").count() > 0  # rows that no change reached stay as they were
+
+
+def test_nothing_to_apply(spark):
+    store = trailing.TrailingStore(spark)
+    store.apply(spark.createDataFrame([], ST))
+    assert store.state().count() == 0
+
+
 def test_no_stats(spark):
     assert trailing.long_form(trailing.build(trailing.daily(spark.createDataFrame([], ST)))).count() == 0
