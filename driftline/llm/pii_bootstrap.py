@@ -11,7 +11,7 @@
    A pattern needs diverse instances, so labels that repeat a few fixed phrases don't pass.
 3. A second pass applies the learned patterns, notations and names to every text, in any case and notation.
 
-The support asked of a pattern or name is the same at every size of the corpus: partners are capped by the stock
+Edges are counted over different texts, so that a text posted over and over counts once. The support asked of a pattern or name is the same at every size of the corpus: partners are capped by the stock
 of names, so a floor that grew with the corpus would lose the rare ones first. What the second pass needs is
 broadcast if counted to be at most ``BROADCAST_KEYS`` patterns and words. Beyond, it stays a table, and each text is
 joined to the patterns and words that reading it can look up, in two rounds: addresses first, as they hide what is inside them.
@@ -55,15 +55,19 @@ EDGE = "family string, pattern string, cls string, instance string, given string
 
 
 def edges(texts: DataFrame, text: str = "text") -> DataFrame:
-    """The pattern-instance graph: counted edges. Counted per batch before the shuffle."""
+    """The pattern-instance graph: edges counted over different texts, so that what is posted again adds nothing.
+
+    Counted per batch; copies of a text collapse before they are exchanged, and the edges of all texts before theirs.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gate = T.Gate()
         for batch in batches:
-            seen: Counter = Counter()
-            for t in batch["t"]:
+            graph = {}
+            for h, t in zip(batch["h"], batch["t"]):
                 span = gate.opening(t) if t else None
-                if span is None:
+                if span is None or h in graph:
                     continue
+                seen = graph[h] = Counter()
                 plain, _ = T.unescape(t[span[0]:span[1]])
                 rest = T.without_links(plain, T.emails(plain))
                 found = T.addresses(rest)
@@ -79,10 +83,11 @@ def edges(texts: DataFrame, text: str = "text") -> DataFrame:
                 for c in T.names(rest):
                     for p in T.contexts(rest, c.start, c.end):
                         seen["name", p, c.cls, c.instance, c.given, c.surname, ""] += 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["family", "pattern", "cls", "instance", "given", "surname", "seed", "n"])
+            yield pd.DataFrame([(*k, n, h) for h, seen in graph.items() for k, n in seen.items()], columns=[*edge, "n", "h"])
 
-    got = texts.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInPandas(run, EDGE)
-    return got.groupBy("family", "pattern", "cls", "instance", "given", "surname", "seed").agg(F.sum("n").alias("n"))
+    edge = ["family", "pattern", "cls", "instance", "given", "surname", "seed"]
+    got = texts.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t IS NOT NULL").mapInPandas(run, f"{EDGE}, h long")
+    return got.groupBy(*edge, "h").agg(F.max("n").alias("n")).groupBy(*edge).agg(F.sum("n").alias("n"))
 
 
 def _small(df: DataFrame) -> DataFrame:

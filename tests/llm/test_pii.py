@@ -93,6 +93,11 @@ def test_support_does_not_grow_with_the_corpus(spark, reader, monkeypatch):
     assert (got.given, got.surnames, got.masks, got.patterns) == (reader.given, reader.surnames, reader.masks, reader.patterns)
 
 
+def test_texts_posted_again_change_nothing(spark, reader):
+    got = B.learn(spark.createDataFrame([(t,) for t in corpus() * 10], "text string"), spark.createDataFrame([(g,) for g in GIVEN], "given_name string"))
+    assert (got.given, got.surnames, got.masks, got.patterns) == (reader.given, reader.surnames, reader.masks, reader.patterns)
+
+
 def test_joined_as_broadcast(spark, reader, monkeypatch):
     monkeypatch.setattr(B, "BROADCAST_KEYS", 0, raising=False)
     learned = B.learn(spark.createDataFrame([(t,) for t in corpus()], "text string"), spark.createDataFrame([(g,) for g in GIVEN], "given_name string"))
