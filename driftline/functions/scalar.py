@@ -190,6 +190,16 @@ def faster_ratio(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def times_faster(a, b) -> Column:
+    """The greater of two durations over the lesser; null when that is 0."""
+    return F.try_divide(F.greatest(_c(a), _c(b)), F.least(_c(a), _c(b)))
+
+
+def faster_label(a, b) -> Column:
+    """Whether the second of two durations is the shorter, as expected."""
+    return F.when(_c(a) > _c(b), "faster").otherwise("slower")
+
+
 def url_safe_secret(random_bytes) -> Column:
     return F.translate(F.regexp_replace(F.base64(_c(random_bytes)), "=", ""), "+/", "-_")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.ordered import exact_sum
+
 
 def latest(df: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     """One row per key, the one with the greatest version columns. Combined map-side, so a hot key is no hot task.
@@ -18,8 +20,12 @@ def latest(df: DataFrame, key: list[str], version: list[str]) -> DataFrame:
 
 
 def final_events(df: DataFrame) -> DataFrame:
-    """Redeliveries collapsed: the key is tenant, time to the second, and event id."""
-    return df.dropDuplicates(["tenant_id", "occurred_at", "event_id"]) if "second" not in df.columns else df.dropDuplicates(["tenant_id", "second", "event_id"])
+    """Redeliveries collapsed: the key is tenant, time to the second, and event id.
+
+    Of rows that differ below the second or in the rest, the one with the greatest occurred_at, then the greatest rest, is kept.
+    """
+    second = df.withColumn("__second", F.date_trunc("second", "occurred_at"))
+    return latest(second, ["tenant_id", "__second", "event_id"], ["occurred_at"]).drop("__second")
 
 
 def final_rollup(df: DataFrame) -> DataFrame:
@@ -35,7 +41,13 @@ def anti_insert(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFram
 def upsert_add(old: DataFrame, delta: DataFrame, key: list[str], amounts: list[str]) -> DataFrame:
     """Add amounts to keys, making new keys: union and re-aggregate."""
     both = old.select(*key, *amounts).unionByName(delta.select(*key, *amounts))
-    return both.groupBy(*key).agg(*[F.sum(a).alias(a) for a in amounts])
+    kinds = dict(both.dtypes)
+    return both.groupBy(*key).agg(*[(exact_sum(F.col(a)) if kinds[a] == "double" else F.sum(a)).alias(a) for a in amounts])
+
+
+def with_any(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``other``; each once, however often it occurs."""
+    return df.join(other.select(*key), key, "left_semi")
 
 
 def exists(df: DataFrame) -> bool:

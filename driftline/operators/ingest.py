@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import clamp_skew, default_payload
@@ -27,6 +27,13 @@ def batch_status(checked: DataFrame) -> DataFrame:
         "status", F.when(F.col("accepted") == F.col("ok"), 201).otherwise(207))
 
 
+def row_results(checked: DataFrame, order: str) -> DataFrame:
+    """The answer of a batch, row by row in order: index (from 0), id of what was stored, status, code, error."""
+    ok, place = F.col("status") == 201, Window.orderBy(order)  # a batch has at most BATCH_ROWS rows
+    return checked.select((F.row_number().over(place) - 1).alias("index"), F.when(ok, F.col("event_id").cast("string")).alias("id"), "status", "code",
+                          F.when(~ok, "event_type is required").alias("error"))
+
+
 def check_size(rows: int, size: int) -> None:
     if not 1 <= rows <= BATCH_ROWS:
         raise ValueError(f"a batch has 1 to {BATCH_ROWS} events")
@@ -46,12 +53,16 @@ def with_time(rows: DataFrame, now) -> DataFrame:
 
 
 def dual_write(rows: DataFrame, log_path: str, events_path: str, batch: str) -> None:
-    """Log first, then events, both from one batch. The batch's name makes a repetition harmless."""
+    """Log first, then events, both from one batch. The batch's name makes a repetition harmless.
+
+    Log rows carry the batch's name in their metadata, so that a batch which failed between the two writes doesn't append them again.
+    """
     from driftline import scratch
     from driftline.sources import event_log
     spark = rows.sparkSession
     if scratch.exists(spark, f"{events_path}/batch={batch}/_SUCCESS"):
         return
     kept = scratch.table(rows, "ingest")
-    event_log.append(kept, log_path)
+    if not event_log.holds(spark, log_path, batch):
+        event_log.append(kept, log_path, batch=batch)
     kept.write.mode("overwrite").parquet(f"{events_path}/batch={batch}")

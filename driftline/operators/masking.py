@@ -30,6 +30,15 @@ def category_counts(df: DataFrame, text: str) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("n")) for k in CATEGORIES])).alias("r")).select("r.*")
 
 
+def scan_counts(events: DataFrame, text: str = "payload", tenant: str | None = None, since=None, limit: int | None = 10_000, tie: str = "event_id") -> DataFrame:
+    """(scanned, with_pii, one count per category) over the newest events, in one pass; sorted and cut before anything is looked for."""
+    from driftline.operators.search import newest, where_all
+    got = where_all(events, [F.col("tenant_id") == tenant if tenant else None, F.col("occurred_at") >= F.lit(since) if since else None])
+    if limit:
+        got = newest(got, "occurred_at", tie, limit, limit, limit)
+    return got.agg(F.count("*").alias("scanned"), F.count_if(contains_pii(text)).alias("with_pii"), *[F.count_if(F.col(text).rlike(p)).alias(k) for k, p in CATEGORIES.items()])
+
+
 def report(events: DataFrame, text: str = "payload", tenant: str | None = None, since=None, limit: int | None = 10_000) -> str:
     """JSON report of a scan over the newest events: scanned, with_pii, by category, and the first findings."""
     from driftline.operators.search import where_all

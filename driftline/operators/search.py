@@ -26,6 +26,11 @@ def where_all(df: DataFrame, conditions: list[Column | None]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, given)) if given else df
 
 
+def newest(df: DataFrame, at: str, tie: str, limit: int | None = None, default: int = 100, most: int = 1000) -> DataFrame:
+    """The newest rows by any time column, ties by another; rows without a time come last."""
+    return df.orderBy(F.desc_nulls_last(at), tie).limit(limit_or(limit, default, most))
+
+
 def recent(events: DataFrame, tenant: str | None = None, limit: int | None = None, default: int = 100, most: int = 1000) -> DataFrame:
     """Newest first, ties by id; a limit out of range takes the default."""
     got = of_tenant(events, tenant) if tenant is not None else events

@@ -163,12 +163,6 @@ def projection_lag(spark, d):
     return projections.lag(at, fixtures.log(spark, d))
 
 
-def log_positions(spark, d):
-    """Positions assigned to a batch in order, after 1000."""
-    e = fixtures.events(spark, d).where("event_id % 3 = 0")
-    return event_log.positions(e.select("event_id", "occurred_at"), 1000, ["occurred_at", "event_id"]).select("event_id", "stream_position")
-
-
 def log_positions_all(spark, d):
     """Positions assigned to the whole table in order, after 1000."""
     e = fixtures.events(spark, d)
@@ -393,7 +387,7 @@ QUERIES = {f.__name__: f for f in (
     daily_rollup_all, daily_rollup_range, daily_rollup_final, rollup_fingerprint, rollup_checksum, olap_daily_stats, rowstore_daily_stats, dedup_final,
     running_totals, daily_event_counts, incremental_totals, watermark_trace, window_1m_ontime, window_1h_ontime, window_7d_ontime, late_bucket_1m, late_bucket_1h,
     window_closed, window_stats_history, window_idempotent, live_snapshot, recent_events, search_payload, point_lookup, read_stream, cursor_scan, head_position,
-    projection_lag, log_positions, log_positions_all, shard_index, shard_distribution, shard_tenants, top_tenants, tenant_lookup_join, insert_ignore, erase_tenant, anonymise_docs,
+    projection_lag, log_positions_all, shard_index, shard_distribution, shard_tenants, top_tenants, tenant_lookup_join, insert_ignore, erase_tenant, anonymise_docs,
     anonymise_log, pii_scan, pii_category_counts, export_tenant, consent_state, consent_gate, fencing_accept, fencing_per_tenant, skew_clamp, ingest_validate,
     batch_status, outbox_pending, credit_balance, charge_fold, idempotency_first, token_bucket, breaker_transitions, ryow_route, slo_histogram,
     slo_latency_quantile, slo_error_ratio, budget_remaining, burn_alerts, request_rate, status_increase, bench_summary, protobuf_round_trip, scalar_functions)}
@@ -439,8 +433,7 @@ def _quantile(q: float) -> str:
 
 
 def _firing(alert: str, limit: float, held: int) -> str:
-    w = f"(PARTITION BY cast(bucket_ts as date) ORDER BY bucket_ts ROWS BETWEEN {held - 1} PRECEDING AND CURRENT ROW)"
-    return f"""SELECT '{alert}' AS alert, bucket_ts, min(cast(r > {limit} as int)) OVER {w} = 1 AND count(*) OVER {w} = {held} AS firing
+    return f"""SELECT '{alert}' AS alert, bucket_ts, count(*) FILTER (WHERE r > {limit}) OVER (ORDER BY bucket_ts RANGE BETWEEN INTERVAL {held - 1} HOUR PRECEDING AND CURRENT ROW) = {held} AS firing
         FROM (SELECT date_trunc('hour', ts) AS bucket_ts, count(*) FILTER (WHERE status LIKE '5%') / count(*) AS r FROM {_MET} GROUP BY 1)"""
 
 
@@ -475,7 +468,6 @@ ORACLE = {
     "head_position": f"SELECT coalesce(max(event_id + 1), 0) AS head FROM {_E}",
     "projection_lag": f"""SELECT projection, last_position, h AS head_position, greatest(0, h - last_position) AS lag FROM (SELECT * FROM (VALUES ('tenant_stats', 90::bigint), ('daily_event_counts', 50), ('ahead', 10000000)) v(projection, last_position)),
         (SELECT max(event_id + 1) AS h FROM {_E})""",
-    "log_positions": f"SELECT event_id, 1000 + row_number() OVER (ORDER BY occurred_at, event_id) AS stream_position FROM {_E} WHERE event_id % 3 = 0",
     "log_positions_all": f"SELECT event_id, 1000 + row_number() OVER (ORDER BY occurred_at, event_id) AS stream_position FROM {_E}",
     "shard_index": f"SELECT DISTINCT tenant_id, cast(('0x' || substr(sha256(tenant_id), 1, 16))::ubigint % 4 as int) AS shard FROM {_E}",
     "shard_distribution": f"""SELECT cast(s.range as int) AS shard, coalesce(tenants, 0) AS tenants, coalesce(events, 0) AS events, last_event FROM range(4) s LEFT JOIN

@@ -37,7 +37,13 @@ def positions(rows: DataFrame, after: int, order: list[str]) -> DataFrame:
     return placed.withColumn("stream_position", F.col("start") + F.row_number().over(w)).drop("__p", "p", "start")
 
 
-def append(events: DataFrame, path: str, order: list[str] | None = None) -> int:
+def holds(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether a batch's rows are in the log. An append commits all its files or none."""
+    from driftline import scratch
+    return scratch.exists(spark, path) and not read(spark, path).where(F.get_json_object("metadata", "$.batch") == batch).isEmpty()
+
+
+def append(events: DataFrame, path: str, order: list[str] | None = None, batch: str | None = None) -> int:
     """Append a batch of events to the log in order; returns the new head. One writer (the driver) assigns positions."""
     spark = events.sparkSession
     try:
@@ -49,7 +55,7 @@ def append(events: DataFrame, path: str, order: list[str] | None = None) -> int:
     data = F.to_json(F.struct("tenant_id", "event_type", default_payload("payload").alias("payload"), "value", F.col("event_id").cast("string").alias("id")))
     rows = positions(events, at, order or ["occurred_at", "event_id"]).select(
         "stream_position", stream_name("tenant_id").alias("stream_name"), F.lit("EventIngested").alias("event_type"), data.alias("data"),
-        F.lit("{}").alias("metadata"), "occurred_at")
+        (F.lit("{}") if batch is None else F.to_json(F.struct(F.lit(batch).alias("batch")))).alias("metadata"), "occurred_at")
     rows.write.mode("append").parquet(path)
     return head(read(spark, path))
 

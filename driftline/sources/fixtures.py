@@ -56,11 +56,28 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"), (F.col("value") / 1000).alias("duration"))
 
 
+#: Methods and paths that event types stand for as requests.
+ROUTES = {"view": ("GET", "/api/v1/events"), "click": ("POST", "/api/v1/events"), "signup": ("POST", "/api/v1/tenants"), "purchase": ("GET", "/api/v1/tenants/{id}"), "error": ("GET", "/api/v1/events/search")}
+
+
+def http(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests of the service's routes; every tenth is the scraping of the metrics."""
+    def route(i: int):
+        of = F.create_map(*[F.lit(x) for kind, r in ROUTES.items() for x in (kind, r[i])])
+        return F.element_at(of, F.col("event_type"))
+
+    scrape = F.col("event_id") % 10 == 9
+    return events(spark, d).select(
+        F.col("occurred_at").alias("ts"), F.when(scrape, "GET").otherwise(route(0)).alias("method"), F.when(scrape, "/api/v1/metrics").otherwise(route(1)).alias("path"),
+        F.when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "500").otherwise("200").alias("status"), (F.col("value") / 200).alias("duration"))
+
+
 def generate(spark: SparkSession, n: int = 10_000, seed: int = 42, days: int = 30, tenants: int = 6) -> DataFrame:
     """Synthetic events for demonstrations: fixed seed, a third with personal data in the payload."""
     pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.rand(seed + k) * len(words)).cast("int") + 1)
     base = spark.range(n).select(
         F.col("id").alias("event_id"), (F.rand(seed) * tenants).cast("int").cast("string").alias("tenant_id"),
+        # The event types, pages and fields of the demonstration data.
         pick(["page_view", "click", "purchase", "signup", "logout", "api_call"], 1).alias("event_type"),
         F.round(F.rand(seed + 2) * 100, 2).alias("value"), (F.rand(seed + 3) * days * 24).cast("int").alias("hour"), (F.rand(seed + 4) < 0.3).alias("personal"))
     start = F.lit("2024-01-01").cast("timestamp")
