@@ -41,17 +41,30 @@ def publish(rows: DataFrame, topic: str, kafka: dict | None = None) -> None:
 def subscribe(spark: SparkSession, topic: str, files_per_trigger: int = 100, kafka: dict | None = None) -> DataFrame:
     if kafka:
         return spark.readStream.format("kafka").options(**kafka).option("subscribe", topic).option("includeHeaders", "true").load()
-    return spark.readStream.schema(SCHEMAS["topic"]).option("maxFilesPerTrigger", files_per_trigger).parquet(topic)
+    return located(spark.readStream.schema(SCHEMAS["topic"]).option("maxFilesPerTrigger", files_per_trigger).parquet(topic))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Messages of a folder with where they are in it: the file is the partition, the row in it the offset."""
+    return rows.select("*", F.crc32(F.col("_metadata.file_name").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("partition"), F.col("_metadata.row_index").alias("offset"))
 
 
 def decoded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, undecodable messages with their error)."""
     d = rows.withColumn("d", decode_events("value"))
     good = d.where("d.error IS NULL").select(F.col("d.id").alias("event_id"), "d.tenant_id", "d.event_type", "d.payload", "d.value", from_nanos(F.col("d.occurred_ns")).alias("occurred_at"))
-    return good, d.where("d.error IS NOT NULL").select("key", "value", F.col("d.error").alias("last_error"))
+    return good, d.where("d.error IS NOT NULL").select(*rows.columns, F.col("d.error").alias("last_error"))
 
 
 def dead_letters(bad: DataFrame, topic: str, reason: str, attempts: int) -> DataFrame:
     """Original bytes with where they came from and why they are here."""
-    return bad.select(F.lit(topic).alias("original_topic"), F.lit(0).alias("original_partition"), F.lit(None).cast("long").alias("original_offset"), "key", "value",
+    where = [F.col(c) if c in bad.columns else F.lit(None) for c in ("partition", "offset")]
+    return bad.select(F.lit(topic).alias("original_topic"), where[0].cast("int").alias("original_partition"), where[1].cast("long").alias("original_offset"), "key", "value",
                       F.lit(reason).alias("reason"), F.lit(attempts).alias("attempts"), "last_error", F.current_timestamp().alias("failed_at"))
+
+
+def dead_messages(dead: DataFrame) -> DataFrame:
+    """Dead letters as messages of a topic of their own: the original bytes, and all the rest as headers."""
+    names = ["original_topic", "original_partition", "original_offset", "reason", "attempts", "last_error"]
+    values = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names} | {"failed_at": F.date_format("failed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+    return dead.select("key", "value", F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]).alias("headers"))
