@@ -11,9 +11,11 @@ from driftline import scratch
 from driftline.functions import codec
 from driftline.functions import scalar as S
 from driftline.operators import final, ingest, keys, ledger, machines, masking, privacy, projections, rollup, search, shard, slo
-from driftline.plans.reference import _E, _HIST, _L, _MASKED, _R, _ROLL, _T, _V, FIRST, LAST, NOW, TENANT, _ntz
-from driftline.sources import event_log, fixtures
+from driftline.plans.reference import _E, _HIST, _L, _M, _MASKED, _R, _ROLL, _T, _V, FIRST, LAST, NOW, TENANT, _late, _ntz, _window
+from driftline.sources import event_log, fixtures, topic
 from driftline.sources.tables import read
+from driftline.streaming import consumer, windows
+from driftline.streaming import projections as followed
 
 WEEK = (dt.date(2024, 1, 5), dt.date(2024, 1, 12))
 DAY = dt.date(2024, 1, 9)
@@ -288,8 +290,68 @@ def olap_histogram(spark, d):
     return slo.histogram(fixtures.metrics(spark, d), ["path"], slo.OLAP_BUCKETS)
 
 
+def _published(spark: SparkSession, d: str) -> str:
+    """All events as messages of a topic, and two that can't be decoded."""
+    path = scratch.new_path(spark, "topic")
+    topic.publish(topic.messages(fixtures.events(spark, d), ["occurred_at", "event_id"]), path)
+    topic.publish(spark.createDataFrame([(b"k", b"\x0a\x09x", {"a": "b"}), (b"k", b"\x0a", {"a": "b"})], "key binary, value binary, headers map<string,string>"), path)
+    return path
+
+
+def stream_topic(spark, d):
+    """Events that went through a topic: published, consumed batch by batch, stored in columns."""
+    path, out = _published(spark, d), scratch.new_path(spark, "consumed")
+    consumer.consume(spark, path, lambda good, batch: good.write.mode("overwrite").parquet(f"{out}/batch={batch}"), f"{out}-checkpoint", files_per_trigger=4)
+    return spark.read.parquet(out).select("event_id", "tenant_id", "event_type", "payload", "value", _ntz("occurred_at"))
+
+
+def stream_dead_letters(spark, d):
+    """Dead letters of a consumer whose handler fails for errors, and can't do anything about the others."""
+    path, out = _published(spark, d), scratch.new_path(spark, "dead")
+
+    def handler(events: DataFrame, batch) -> DataFrame:
+        return events.where("event_type = 'error'").select("event_id", F.lit("not an event").alias("last_error"))
+
+    consumer.consume(spark, path, handler, f"{out}-checkpoint", dlq=out, files_per_trigger=4)
+    dead = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    tenants = F.count_distinct(F.when(F.col("reason") != "unmarshal_failed", F.decode("key", "utf-8")))
+    return dead.groupBy("reason", F.col("attempts").cast("long").alias("attempts")).agg(F.count("*").alias("messages"), tenants.alias("tenants"),
+                                                                                     F.count_distinct("original_partition", "original_offset").alias("places"))
+
+
+def stream_projection(spark, d):
+    """Daily counts that followed a log while it was appended to."""
+    log, root, p = scratch.new_path(spark, "log"), scratch.new_path(spark, "followed"), projections.DailyCounts()
+    e = fixtures.events(spark, d)
+    middle = F.lit(NOW).cast("timestamp")
+    for part in (e.where(F.col("occurred_at") < middle), e.where(F.col("occurred_at") >= middle)):
+        event_log.append(part, log)
+        followed.follow(spark, log, p, root)
+    return p.state(spark, root)
+
+
+def stream_history(spark, d):
+    """Window history as flushed: swept after half of the arrivals and after all of them."""
+    a, root = fixtures.arrivals(spark, d), scratch.new_path(spark, "windows")
+    us = F.unix_micros("received_at")
+    cut = a.agg(F.percentile_approx(us, 0.5).alias("c")).first()["c"]
+    ws = windows.WindowStream(spark, root, (3600,))
+    for i, part in enumerate((a.where(us <= cut), a.where(us > cut))):
+        ws.process(part, i)
+        ws.sweep(_at(1_800_000_000 + i))
+    return ws.history().select("tenant_id", "event_type", "window_duration", _ntz("window_start"), "event_count", "sum_value", "is_late")
+
+
+def stream_frames(spark, d):
+    """Live frames of the hour that holds the watermark."""
+    root = scratch.new_path(spark, "windows")
+    ws = windows.WindowStream(spark, root, (3600,))
+    ws.process(fixtures.arrivals(spark, d), 0)
+    return ws.frames(3600, NOW).select("tenant_id", "event_type", "window_label", _ntz("window_start"), "event_count", "sum_value", "based_on", _ntz("watermark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    rollup_rerun, rollup_repaired, rollup_differences, rollup_checksum_day, olap_newest_days, olap_ranges, final_subsecond, tenants_newest, audit_newest, pii_scan_counts,
+    stream_topic, stream_dead_letters, stream_projection, stream_history, stream_frames, rollup_rerun, rollup_repaired, rollup_differences, rollup_checksum_day, olap_newest_days, olap_ranges, final_subsecond, tenants_newest, audit_newest, pii_scan_counts,
     masked_documents, tenants_active, idempotency_expired, projection_kinds, projection_rebuilt, api_keys, key_touched, key_revoked, key_permitted, shard_read, window_keys,
     scalar_conversions, protobuf_decoded, protobuf_broken, ingest_rows, dual_written, outbox_swept, export_parts, erase_tenants, slo_quantiles_5m, slo_worst_p99, slo_rolling_ratios,
     slo_alerts, load_thresholds, metrics_exposition, olap_histogram)}
@@ -403,6 +465,15 @@ ORACLE = {
         UNION ALL SELECT 'request_duration_seconds_bucket{{method="' || method || '",path="' || path || '",le="' || CASE WHEN isinf(le) THEN '+Inf' {_LE} END || '"}} ' || cast(count(*) FILTER (WHERE duration <= le OR isinf(le)) as varchar)
         FROM {_HTTP}, (VALUES {_BOUNDS}) b(le) GROUP BY method, path, le""",
     "olap_histogram": _HIST.split(" UNION ALL ")[-1] + "".join(f" UNION ALL SELECT path, {b} AS le, count(*) FILTER (WHERE duration <= {b}) AS n FROM (SELECT event_type AS path, value / 1000 AS duration FROM events) GROUP BY path" for b in slo.OLAP_BUCKETS),
+    "stream_topic": f"SELECT cast(event_id as varchar) AS event_id, tenant_id, event_type, payload, value, occurred_at FROM {_E}",
+    "stream_dead_letters": f"""SELECT 'handler_failed_after_retries' AS reason, cast(3 as bigint) AS attempts, count(*) AS messages, count(DISTINCT tenant_id) AS tenants, count(*) AS places FROM {_E} WHERE event_type = 'error' HAVING count(*) > 0
+        UNION ALL SELECT 'unmarshal_failed', 1, 2, 0, 2""",
+    "stream_projection": f"SELECT tenant_id, cast(occurred_at as date) AS event_date, event_type, count(*) AS event_count, {_V} AS total_value FROM {_E} GROUP BY ALL",
+    "stream_history": f"""SELECT tenant_id, event_type, '1h' AS window_duration, window_start, event_count, sum_value, false AS is_late FROM ({_window(3600)})
+        WHERE (SELECT max(watermark) FROM {_M}) >= window_start + INTERVAL 3630 SECOND
+        UNION ALL SELECT tenant_id, event_type, window_duration, TIMESTAMP '2027-01-15 08:00:01', event_count, sum_value, true FROM ({_late('1h')})""",
+    "stream_frames": f"""SELECT tenant_id, event_type, '1h' AS window_label, window_start, coalesce(event_count, 0) AS event_count, coalesce(sum_value, 0) AS sum_value, 'watermark' AS based_on, (SELECT max(watermark) FROM {_M}) AS watermark
+        FROM (SELECT DISTINCT tenant_id, event_type, (SELECT date_trunc('hour', max(watermark)) FROM {_M}) AS window_start FROM {_E}) k LEFT JOIN ({_window(3600)}) USING (tenant_id, event_type, window_start)""",
     # Folds whose next state depends on what was decided before: recursion, one step for the n-th row of every key.
     "charge_fold": f"""WITH RECURSIVE l AS (SELECT tenant_id, amount_cents, 'k' || cast(id % 9 as varchar) AS key, row_number() OVER (PARTITION BY tenant_id ORDER BY epoch_us(created_at) // 1000000 * 10000000 + id) AS k FROM {_L}),
         opening AS (SELECT tenant_id, cast(trunc(cast(sum(amount_cents) as bigint) / 2) as bigint) AS balance FROM {_L} GROUP BY 1),
