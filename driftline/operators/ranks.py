@@ -25,7 +25,7 @@ def rank_of(n: Column, permille: Column) -> Column:
 
 def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "cell").agg(
-        F.sum("n").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.min("value").alias("value"))
+        F.sum("n").alias("n"), F.count("*").alias("m"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.min("value").alias("value"))
 
 
 def resolve(weighted: DataFrame, groups: list[str], permille: list[int], first_cell: Callable[[], Column],
@@ -44,7 +44,7 @@ def resolve(weighted: DataFrame, groups: list[str], permille: list[int], first_c
         .withColumn("permille", F.explode(F.array(*[F.lit(p) for p in permille])))
         .withColumn("rank", rank_of(F.col("total"), F.col("permille")))
         .where((F.col("rank") <= F.col("cum")) & (F.col("rank") > F.col("cum") - F.col("n")))
-        .select(*groups, "permille", "cell", "lo", "hi", "value", (F.col("rank") - F.col("cum") + F.col("n")).alias("rank"))
+        .select(*groups, "permille", "cell", "lo", "hi", "value", "m", (F.col("rank") - F.col("cum") + F.col("n")).alias("rank"))
     )
     chosen = scratch.table(at, "ranks")
     done = [chosen.where("lo = hi").select(*groups, "permille", "value")]
@@ -52,14 +52,13 @@ def resolve(weighted: DataFrame, groups: list[str], permille: list[int], first_c
     kept: DataFrame | None = None
     while True:
         open_ = chosen.where("lo < hi")
-        n_open = open_.count()
-        if not n_open:
+        if open_.isEmpty():
             break
         step += 1
         by = [*groups, "cell"] if step == 1 else [*groups, "permille", "cell"]
         here = rows.withColumn("cell", first_cell()) if step == 1 else rows
-        going = lookup_join(here.select(*by, "code", "value", "n"), open_.select(*groups, "permille", "cell", "lo", "hi", "rank"),
-                            by, small_rows=n_open, salt_by="code")
+        going = lookup_join(here.select(*by, "code", "value", "n"), open_.select(*groups, "permille", "cell", "lo", "hi", "rank", "m"),
+                            by, salt_by="code", rows_of="m").drop("m")
         going = scratch.table(going.withColumn("cell", next_cell(step)), "ranks-rows")
         w = Window.partitionBy(*groups, "permille").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         at = (
@@ -67,7 +66,7 @@ def resolve(weighted: DataFrame, groups: list[str], permille: list[int], first_c
             .withColumn("cum", F.sum("n").over(w))
             .where((F.col("rank") <= F.col("cum")) & (F.col("rank") > F.col("cum") - F.col("n")))
             .withColumn("rank", F.col("rank") - F.col("cum") + F.col("n"))
-            .select(*groups, "permille", "cell", "lo", "hi", "value", "rank")
+            .select(*groups, "permille", "cell", "lo", "hi", "value", "m", "rank")
         )
         chosen = scratch.table(at, "ranks")
         scratch.drop(kept)

@@ -77,3 +77,19 @@ def test_lookup_join_is_the_same_broadcast_or_salted(spark, limit):
 
 def test_column_names():
     assert [ranks.column_of(p) for p in (500, 990, 1, 999)] == ["p50", "p99", "p0_1", "p99_9"]
+
+
+def test_only_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    big = spark.range(300).select(F.when(F.col("id") < 100, 0).when(F.col("id") < 200, None).otherwise(F.col("id") % 7 + 1).alias("k"), "id")
+    small = spark.createDataFrame([(0, "hot", 100), (None, "null", 100), *[(i, f"v{i}", 15) for i in range(1, 8)], (99, "none", 0)], "k long, v string, m long")
+    for limit in (0, 5, 100):
+        got = joins.lookup_join(big, small, ["k"], salt_by="id", limit=limit, rows_of="m")
+        assert rows(got, "id", "v") == sorted([(i, "hot" if i < 100 else "null" if i < 200 else f"v{i % 7 + 1}") for i in range(300)], key=repr)
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10)
+    small = spark.createDataFrame([(1, "x" * 50)], "k long, v string")
+    got = joins.lookup_join(spark.range(3).select(F.col("id").alias("k")), small, ["k"])
+    assert "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 1
