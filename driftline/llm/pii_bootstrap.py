@@ -59,34 +59,39 @@ def edges(texts: DataFrame, text: str = "text") -> DataFrame:
 
     Counted per batch; copies of a text collapse before they are exchanged, and the edges of all texts before theirs.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    edge = ["family", "pattern", "cls", "instance", "given", "surname", "seed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate = T.Gate()
         for batch in batches:
-            graph = {}
-            for h, t in zip(batch["h"], batch["t"]):
-                span = gate.opening(t) if t else None
-                if span is None or h in graph:
+            graph: Counter = Counter()
+            read = set()
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                span = gate.opening(t) if t and h not in read else None
+                if span is None:
                     continue
-                seen = graph[h] = Counter()
+                read.add(h)
                 plain, _ = T.unescape(t[span[0]:span[1]])
                 rest = T.without_links(plain, T.emails(plain))
                 found = T.addresses(rest)
                 for c in found:
                     for p in T.contexts(rest, c.start, c.end):
-                        seen["address", p, "", c.instance, "", "", "address" if c.sure else ""] += 1
-                rest = T._blank(rest, [(c.start, c.end) for c in found])
+                        graph["address", p, "", c.instance, "", "", "address" if c.sure else "", h] += 1
+                if found:
+                    rest = T._blank(rest, [(c.start, c.end) for c in found])
                 for c in T.numbers(rest):
                     found_in = T.contexts(rest, c.start, c.end)
                     seed = T.seed_kind(c, found_in)
                     for p in found_in:
-                        seen["number", p, c.cls, c.instance, "", "", seed] += 1
+                        graph["number", p, c.cls, c.instance, "", "", seed, h] += 1
                 for c in T.names(rest):
                     for p in T.contexts(rest, c.start, c.end):
-                        seen["name", p, c.cls, c.instance, c.given, c.surname, ""] += 1
-            yield pd.DataFrame([(*k, n, h) for h, seen in graph.items() for k, n in seen.items()], columns=[*edge, "n", "h"])
+                        graph["name", p, c.cls, c.instance, c.given, c.surname, "", h] += 1
+            columns = list(zip(*graph)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:7]], pa.array(columns[7], pa.int64()), pa.array(list(graph.values()), pa.int64())], names=[*edge, "h", "n"])
 
-    edge = ["family", "pattern", "cls", "instance", "given", "surname", "seed"]
-    got = texts.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("t IS NOT NULL").mapInPandas(run, f"{EDGE}, h long")
+    schema = ", ".join(f"{c} string" for c in edge) + ", h long, n long"
+    got = texts.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, schema)
     return got.groupBy(*edge, "h").agg(F.max("n").alias("n")).groupBy(*edge).agg(F.sum("n").alias("n"))
 
 
