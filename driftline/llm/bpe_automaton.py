@@ -34,6 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words longer than this aren't kept in the memo, which holds at most so many words.
 MEMO_WORD, MEMO_WORDS = 48, 300_000
+#: Transitions kept in the table; when it is full it is filled anew.
+TABLE_ENTRIES = 2_000_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -90,6 +92,8 @@ class Automaton:
         key = last << 20 | arc
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= TABLE_ENTRIES:
+                self.table.clear()
             known = self.table[key] = self._has_arc(last, arc)
         return known
 

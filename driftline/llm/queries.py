@@ -55,6 +55,11 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.where("coalesce(original, '') <> text").select("doc_id")
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text that comes back from each document's ids; that of an empty or null text is empty."""
+    return bpe_automaton.decode(p8_ids(spark, d)).select("doc_id", "text")
+
+
 def _mix(spark: SparkSession, d: str):
     docs = spread(read(spark, d, "documents").select("doc_id", "source", "text"))
     sized = scratch.table(bpe_automaton.count_tokens(docs), "mix-sizes")
@@ -69,6 +74,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_on_target(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source: whether it is used, whether its tokens are its share of the mix but for one document, whether no document is used too often."""
+    mixed, shares = _mix(spark, d)
+    mixed = scratch.table(mixed, "mix")
+    # One row per source with a target, and one in all.
+    per_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.count_distinct("use").alias("rows"))
+    most = per_doc.groupBy("source").agg(F.max("rows").alias("most"))
+    sizes = mixed.agg(F.max("n_tokens").alias("largest"), F.sum("n_tokens").alias("all")).first()
+    whole = shares.where("tokens > 0").agg(F.sum("target_share")).first()[0] or 1.0
+    off = F.abs(F.col("tokens") - F.col("target_share") / F.lit(whole) * F.lit(sizes["all"] or 0))
+    return shares.join(F.broadcast(most), "source", "left").select(
+        "source", (F.col("tokens") > 0).alias("used"), ((F.col("tokens") == 0) | (off <= F.lit(sizes["largest"] or 0))).alias("on_target"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = scratch.table(prose_model.coded(spread(read(spark, d, "documents").select("doc_id", "text"))), "prose-codes")
     return prose_model.score(docs, prose_model.train(docs))
@@ -78,11 +98,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("flagged").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_tenant_type_percentiles, p3_type_percentiles, p3_combined_days, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_tenant_type_percentiles, p3_type_percentiles, p3_combined_days, p8_ids, p8_round_trip, p8_texts, p9_mix, p9_shares, p9_on_target, p10_found, p10_scores)}
 
 ORACLE = {
     "p3_tenant_type_percentiles": _ranked("tenant_id, event_type", [100, 500, 900, 990]),
     "p3_type_percentiles": _ranked("event_type", [100, 500, 900, 990]),
     "p3_combined_days": _ranked("event_type", [100, 500, 900, 990]),
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_on_target": """SELECT source, target_share > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND length(d.text) > 0) AS used, true AS on_target, true AS within_repeats FROM mix_targets m""",
     "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
