@@ -17,6 +17,8 @@ SPAM = {
     "products": "\n".join(f"Visitor Testing Plugin Pro €{i}.99 SALE [seo, growth, kpi, widget]" for i in range(10)),
     "dressed": "Our cheap web counter plugin is the cheap web counter plugin for web counter plugin users. Buy the web counter plugin now. " * 6,
     "towns": ", ".join(f"funnel stats download in Town{i}" for i in range(20)),
+    "dressed in French": "Cherchez outil de suivi pour boutique et trouvez outil de suivi pour boutique avec outil de suivi pour boutique. " * 8,
+    "table of links": "\n".join(f"| {i} | https://www.x{i}.example/seo/growth?id={i} |" for i in range(30)),
     "mixed": PROSE[2] + "\n" + "best web counter cheap funnel tracker free seo plugin top growth script online heatmap widget " * 6,
 }
 FINE = {
@@ -57,6 +59,26 @@ def test_counts_add_up_whatever_the_partitions(spark):
     assert P.train(docs.repartition(7)) == P.train(docs.coalesce(1))
 
 
+def test_classes():
+    def names(text):
+        memo = P._Memo(P.token_classes)
+        return [P._NAMES[c] for c in P._codes("".join(memo[t] for t in P.tokens(text)))]
+
+    assert names("Best web counter. The app") == ["Title1", "word2", "word3", ".", "", "en:the", "word1"]
+    assert names("l'outil 3.5, €9 <b> #x") == ["elided", "word1", "num", ",", "price", "tag", "#", "word2"]
+    assert names("see [a page](https://a.example/x) now") == ["word1", "caption", "", "[", "en:a", "word1", "]", "(", "link", ")", "", "en:now", "caption", ""]
+    assert names("更新は x") == ["han", "kana", "word1"] and names("one\r\n\r\ntwo") == ["en:one", "", "en:two"]
+    assert names(" ".join(["seo"] * 10)) == [f"word{min(i, P.RUN)}" for i in range(1, 11)]
+
+
+def test_words_said_before_cost_less():
+    import numpy as np
+    once, again = P._cache_bits(np.arange(40), np.zeros(40, int), 1)[0], P._cache_bits(np.arange(40) % 4, np.zeros(40, int), 1)[0]
+    assert again < once / 2
+    two = P._cache_bits(np.arange(40) % 4, np.repeat([0, 1], 20), 2)  # a passage knows nothing of the one before
+    assert two[0] == pytest.approx(two[1]) and two.sum() > again
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.train(docs) == {}
