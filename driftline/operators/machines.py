@@ -79,6 +79,35 @@ def _fold(df: DataFrame, key: str, order: str, columns: list[str], schema: str,
     return df.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
+def idempotency(requests: DataFrame, key: str = "ns_key", at: str = "at_s", completed_for: float = 86_400.0, in_flight_for: float = 300.0) -> DataFrame:
+    """(ns_key, at_s, outcome) of each request: reserved, replay, in_progress or reused.
+
+    Columns fingerprint, done_s (when the request it reserves for ends) and code (its status). A reservation is in flight until then:
+    a 2xx completes it, any other code releases the key, as does ``in_flight_for`` seconds without an end. A completed key answers for
+    ``completed_for`` seconds, then it is as if it weren't there. Another fingerprint under a held key is reused; ties in time go in no set order.
+    """
+    def start(row):
+        return {"held": False}
+
+    def step(s, row):
+        _, now, print_, done, code = row
+        if s["held"] and not s["complete"] and now >= min(s["done"], s["since"] + in_flight_for):
+            if s["done"] <= s["since"] + in_flight_for and 200 <= s["code"] < 300:
+                s.update(complete=True, since=s["done"])
+            else:
+                s["held"] = False
+        if s["held"] and s["complete"] and now >= s["since"] + completed_for:
+            s["held"] = False
+        if not s["held"]:
+            s.update(held=True, complete=False, print=print_, since=now, done=done, code=code)
+            return ("reserved",)
+        if s["print"] != print_:
+            return ("reused",)
+        return ("replay" if s["complete"] else "in_progress",)
+
+    return _fold(requests, key, at, ["fingerprint", "done_s", "code"], "ns_key string, at_s double, outcome string", start, step)
+
+
 def token_bucket(requests: DataFrame, key: str = "key", at: str = "at_s", rate: str = "rate", burst: str = "burst") -> DataFrame:
     """(key, at, allowed, retry_after_s, remaining): a bucket per key refills at ``rate`` a second to ``burst``.
 

@@ -106,6 +106,15 @@ def idempotency_expired(spark, d):
     return machines.expired(kept, NOW).select("event_id", "state")
 
 
+def idempotency_outcomes(spark, d):
+    """Requests under their tenant's and type's key: of an hour and a half each, every fourth failing, every third with another body."""
+    e = fixtures.events(spark, d)
+    at = F.unix_micros("occurred_at") / 1e6
+    asked = e.select(F.concat(F.lit("t:"), "tenant_id", F.lit(":"), "event_type").alias("ns_key"), at.alias("at_s"), (F.col("event_id") % 3 == 0).cast("string").alias("fingerprint"),
+                     (at + 5400.0).alias("done_s"), F.when(F.col("event_id") % 4 == 0, 500).otherwise(201).alias("code"))
+    return machines.idempotency(asked, in_flight_for=7200.0)
+
+
 def projection_kinds(spark, d):
     """Running totals of a log that holds other kinds too; these only move the position."""
     log = fixtures.log(spark, d).withColumn("event_type", F.when(F.col("stream_position") % 4 == 0, "TenantRenamed").otherwise(F.col("event_type")))
@@ -352,7 +361,7 @@ def stream_frames(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     stream_topic, stream_dead_letters, stream_projection, stream_history, stream_frames, rollup_rerun, rollup_repaired, rollup_differences, rollup_checksum_day, olap_newest_days, olap_ranges, final_subsecond, tenants_newest, audit_newest, pii_scan_counts,
-    masked_documents, tenants_active, idempotency_expired, projection_kinds, projection_rebuilt, api_keys, key_touched, key_revoked, key_permitted, shard_read, window_keys,
+    masked_documents, tenants_active, idempotency_expired, idempotency_outcomes, projection_kinds, projection_rebuilt, api_keys, key_touched, key_revoked, key_permitted, shard_read, window_keys,
     scalar_conversions, protobuf_decoded, protobuf_broken, ingest_rows, dual_written, outbox_swept, export_parts, erase_tenants, slo_quantiles_5m, slo_worst_p99, slo_rolling_ratios,
     slo_alerts, load_thresholds, metrics_exposition, olap_histogram)}
 
@@ -482,6 +491,15 @@ ORACLE = {
                 CASE WHEN ok THEN list_append(keys, l.key) ELSE keys END
             FROM step s JOIN (SELECT * FROM l) l ON l.tenant_id = s.tenant_id AND l.k = s.k + 1, LATERAL (SELECT list_contains(s.keys, l.key) AS again), LATERAL (SELECT NOT again AND l.amount_cents > 0 AND l.amount_cents <= s.balance AS ok))
         SELECT tenant_id, arg_max(accepted, k) AS accepted, arg_max(rejected, k) AS rejected, arg_max(replayed, k) AS replayed, arg_max(balance, k) AS balance_cents FROM step GROUP BY 1 HAVING max(k) > 0""",
+    "idempotency_outcomes": f"""WITH RECURSIVE q AS (SELECT 't:' || tenant_id || ':' || event_type AS key, epoch_us(occurred_at) / 1e6::double AS at_s, event_id % 3 = 0 AS print, event_id % 4 <> 0 AS fine,
+            row_number() OVER (PARTITION BY tenant_id, event_type ORDER BY occurred_at) AS k FROM {_E}),
+        step AS (SELECT key, k, at_s, 'reserved' AS outcome, false AS complete, print, fine, at_s AS since FROM q WHERE k = 1
+            UNION ALL SELECT q.key, q.k, q.at_s, CASE WHEN free THEN 'reserved' WHEN s.print <> q.print THEN 'reused' WHEN whole THEN 'replay' ELSE 'in_progress' END,
+                NOT free AND whole, CASE WHEN free THEN q.print ELSE s.print END, CASE WHEN free THEN q.fine ELSE s.fine END, CASE WHEN free THEN q.at_s ELSE held_since END
+            FROM step s JOIN q ON q.key = s.key AND q.k = s.k + 1,
+                LATERAL (SELECT NOT s.complete AND q.at_s >= s.since + 5400.0 AS ended), LATERAL (SELECT s.complete OR ended AND s.fine AS whole, CASE WHEN ended AND s.fine THEN s.since + 5400.0 ELSE s.since END AS held_since),
+                LATERAL (SELECT ended AND NOT s.fine OR whole AND q.at_s >= held_since + 86400.0 AS free))
+        SELECT key AS ns_key, at_s, outcome FROM step""",
     "token_bucket": f"""WITH RECURSIVE q AS (SELECT tenant_id AS key, epoch_us(occurred_at) / 1e6::double AS at_s, row_number() OVER (PARTITION BY tenant_id ORDER BY occurred_at) AS k FROM {_E}),
         step AS (SELECT key, k, at_s, true AS allowed, 0.0::double AS retry, 2.0::double AS tokens, at_s AS t FROM q WHERE k = 1
             UNION ALL SELECT q.key, q.k, q.at_s, have >= 1, CASE WHEN have >= 1 THEN 0.0::double ELSE (1.0::double - have) / 0.0005::double END, CASE WHEN have >= 1 THEN have - 1 ELSE have END, greatest(s.t, q.at_s)

@@ -416,3 +416,52 @@ def test_charges_match_a_loop(spark, pairs):
     df = spark.createDataFrame(data, "tenant_id string, seq long, idempotency_key string, amount_cents long")
     got = rows(ledger.charge(spark.createDataFrame([("a", 100)], "tenant_id string, balance_cents long"), df))
     assert got == ([("a", *counts, balance)] if pairs else [])
+
+
+def test_idempotency_machine(spark):
+    R = "ns_key string, at_s double, fingerprint string, done_s double, code int"
+    data = [("a", 0.0, "x", 10.0, 201), ("a", 5.0, "x", 9.0, 201), ("a", 6.0, "y", 9.0, 201), ("a", 10.0, "x", 11.0, 201), ("a", 11.0, "y", 12.0, 201), ("a", 86410.0, "y", 86411.0, 201),
+            ("b", 0.0, "x", 10.0, 500), ("b", 9.0, "x", 10.0, 201), ("b", 10.0, "x", 400.0, 201), ("b", 309.0, "x", 310.0, 201), ("b", 310.0, "x", 311.0, 201), (None, 1.0, None, 2.0, 201)]
+    got = rows(machines.idempotency(spark.createDataFrame(data, R)))
+    want = ["reserved", "in_progress", "reused", "replay", "reused", "reserved", "reserved", "in_progress", "reserved", "in_progress", "reserved", "reserved"]
+    assert got == sorted([(k, at, o) for (k, at, *_), o in zip(data, want)], key=repr)
+    assert machines.idempotency(spark.createDataFrame([], R)).count() == 0
+
+
+def test_alerts_hold_across_midnight(spark):
+    at = dt.datetime(2024, 1, 1, 23, 58)
+    data = [(at + dt.timedelta(minutes=i), 1.0 if 1 <= i <= 5 else 0.0) for i in range(8) if i != 4]  # a minute without an evaluation
+    got = slo.firing(spark.createDataFrame(data, "bucket_ts timestamp, r double"), F.col("r") > 0.5, 3, "x", step=60)
+    assert [r.bucket_ts for r in got.where("firing").collect()] == [at + dt.timedelta(minutes=3)]
+    assert got.count() == 7
+
+
+def test_rolling_ratios_over_days(spark):
+    data = [(dt.datetime(2024, 1, 1 + i // 1440, i // 60 % 24, i % 60), i % 7, (i % 5 == 0) * (i % 7 > 0)) for i in range(0, 4000, 13)]
+    df = spark.createDataFrame([(t, n, e) for t, n, e in data], "bucket_ts timestamp, requests long, errors long")
+    for seconds in (300, 3600, 2 * 86400):
+        got = {r.bucket_ts: r.x for r in slo.rolling_error_ratio(df, seconds, "x").collect()}
+        for t, _, _ in data:
+            mine = [(n, e) for u, n, e in data if 0 <= (t - u).total_seconds() < seconds]
+            n, e = sum(x[0] for x in mine), sum(x[1] for x in mine)
+            assert got[t] == pytest.approx(e / n if n else 0.0)
+
+
+def test_minutes_are_dense(spark):
+    rows_ = [(dt.datetime(2024, 1, 1, 23, 58, 30), "GET", "/x", "200", 0.1), (dt.datetime(2024, 1, 2, 0, 1), "GET", "/x", "503", 0.1), (dt.datetime(2024, 1, 2, 9), "GET", slo.SELF, "200", 0.1)]
+    df = spark.createDataFrame(rows_, "ts timestamp, method string, path string, status string, duration double")
+    assert [tuple(r)[1:] for r in slo.minutes(df).orderBy("bucket_ts").collect()] == [(1, 0), (0, 0), (0, 0), (1, 1)]
+    assert slo.minutes(df.where("false")).count() == 0 and slo.alerts(df.where("false")).count() == 0
+
+
+def test_events_are_one_to_the_second(spark):
+    s = dt.datetime(2024, 1, 1, 1, 1, 1)
+    data = [("a", "1", s, 1.0), ("a", "1", s + dt.timedelta(milliseconds=900), 2.0), ("a", "1", s + dt.timedelta(seconds=1), 3.0), ("a", "2", s, 4.0), (None, "1", s, None), (None, "1", s, None)]
+    got = final.final_events(spark.createDataFrame(data, "tenant_id string, event_id string, occurred_at timestamp, value double"))
+    assert rows(got, "tenant_id", "event_id", "value") == sorted([("a", "1", 2.0), ("a", "1", 3.0), ("a", "2", 4.0), (None, "1", None)], key=repr)
+
+
+def test_amounts_add_up_whatever_the_order(spark):
+    a = spark.createDataFrame([("k", 1, 0.1), ("k", 1, 0.2)], "key string, n long, v double")
+    b = spark.createDataFrame([("k", 1, 0.3), ("m", 2, None)], "key string, n long, v double")
+    assert rows(final.upsert_add(a, b, ["key"], ["n", "v"])) == rows(final.upsert_add(b, a, ["key"], ["n", "v"])) == [("k", 3, 0.6), ("m", 2, 0.0)]
