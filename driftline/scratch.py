@@ -16,21 +16,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_NAMED: set[str] = set()
+_MADE: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
     """Folder of this application below the shared checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        path = f"{named.rstrip('/')}/driftline-{spark.sparkContext.applicationId}"
-        if path not in _NAMED:  # gone with the application, as nothing else reads it
-            _NAMED.add(path)
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.mkdirs(p)
-            fs.deleteOnExit(p)
-        return path
+        return f"{named.rstrip('/')}/driftline-{spark.sparkContext.applicationId}"
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="driftline-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
@@ -38,7 +31,14 @@ def root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = root(spark)
+    if folder not in _MADE:  # gone with the application, as nothing else reads it
+        _MADE.add(folder)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
