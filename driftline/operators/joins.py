@@ -20,6 +20,8 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     ``small`` is counted (or its count given). Up to ``limit`` rows it is broadcast. Beyond, it is
     replicated under ``SALTS`` salts and ``big`` is salted by a hash of ``salt_by`` (or of a row id),
     so that a key holding a third of all rows is shared by ``SALTS`` tasks. Keys compare null-safe.
+    Such a side is joined by merging whatever Spark's own threshold says: Spark goes by the bytes of
+    the files, which compress, and doesn't count the copies, so it would broadcast what was counted too large.
     ``how`` is inner or left. ``rows_of`` names a column of ``small`` that says how many rows of ``big`` its key has; then only keys with more than
     ``HOT_ROWS`` are joined apart (inner joins).
     """
@@ -33,7 +35,7 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
         # Hot keys are at most as many as millions of rows: broadcast if counted few, else salted.
         apart = lookup_join(big, hot, keys, how, n_hot, salt_by, limit)
         is_hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
-        rest = big.join(F.broadcast(is_hot) if n_hot <= limit else is_hot, _all([big[k].eqNullSafe(is_hot[f"__h_{k}"]) for k in keys]), "left_anti")
+        rest = big.join(F.broadcast(is_hot) if n_hot <= limit else is_hot.hint("merge"), _all([big[k].eqNullSafe(is_hot[f"__h_{k}"]) for k in keys]), "left_anti")
         return _shuffled(rest, cold, keys, how).unionByName(apart)
     renamed = small.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     if n <= limit:
@@ -45,7 +47,7 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
         right = renamed.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
             "__salt_r", F.col("__salt_r").cast("long"))
         cond = [left[k].eqNullSafe(right[f"__k_{k}"]) for k in keys] + [left["__salt"] == right["__salt_r"]]
-        joined = left.join(right, _all(cond), how).drop("__salt", "__salt_r")
+        joined = left.join(right.hint("merge"), _all(cond), how).drop("__salt", "__salt_r")
     return joined.drop(*[f"__k_{k}" for k in keys])
 
 
@@ -58,7 +60,7 @@ def _measured(small: DataFrame) -> tuple[int, int]:
 
 def _shuffled(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
     renamed = small.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
-    return big.join(renamed, _all([big[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]), how).drop(*[f"__k_{k}" for k in keys])
+    return big.join(renamed.hint("merge"), _all([big[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]), how).drop(*[f"__k_{k}" for k in keys])
 
 
 def _all(conds):

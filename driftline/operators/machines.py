@@ -48,13 +48,14 @@ def reservations(requests: DataFrame) -> DataFrame:
     """Per idempotency key (ns_key, seq, fingerprint): the first request wins; later ones are replays of it if their
     fingerprint is the same, else conflicts. (ns_key, winner_id, seq, outcome).
 
-    The first of each key is an aggregate; requests find it by a join that spreads a hot key.
+    The first of each key is an aggregate, which also counts the key's requests; requests find it by a join that
+    spreads the hot keys only.
     """
-    first = requests.groupBy("ns_key").agg(F.min(F.struct("seq", "fingerprint")).alias("f")).select(
-        "ns_key", F.col("f.seq").alias("winner_id"), F.col("f.fingerprint").alias("print"))
-    got = lookup_join(requests, scratch.table(first, "reservations"), ["ns_key"], salt_by="seq")
+    first = requests.groupBy("ns_key").agg(F.min(F.struct("seq", "fingerprint")).alias("f"), F.count("*").alias("__n")).select(
+        "ns_key", F.col("f.seq").alias("winner_id"), F.col("f.fingerprint").alias("print"), "__n")
+    got = lookup_join(requests, scratch.table(first, "reservations"), ["ns_key"], salt_by="seq", rows_of="__n")
     return got.withColumn("outcome", F.when(F.col("seq") == F.col("winner_id"), "reserved").when(
-        F.col("fingerprint").eqNullSafe(F.col("print")), "replay").otherwise("reused")).drop("print")
+        F.col("fingerprint").eqNullSafe(F.col("print")), "replay").otherwise("reused")).drop("print", "__n")
 
 
 def expired(keys: DataFrame, now, completed: str = "INTERVAL 24 HOURS", in_flight: str = "INTERVAL 5 MINUTES") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import functools
 import hashlib
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline import schemas, scratch
 from driftline.functions import codec
 from driftline.functions import scalar as S
-from driftline.operators import final, ingest, keys, ledger, machines, masking, privacy, projections, rollup, search, shard, slo, windows
+from driftline.operators import final, ingest, joins, keys, ledger, machines, masking, privacy, projections, rollup, search, shard, slo, windows
 from driftline.plans import reference
 from driftline.sources import event_log, fixtures
 from tests.conftest import rows
@@ -428,6 +429,21 @@ def test_idempotency_machine(spark):
     assert machines.idempotency(spark.createDataFrame([], R)).count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [100, 10])
+def test_reservations_of_many_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(machines, "lookup_join", functools.partial(joins.lookup_join, limit=0))
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    data = [("hot" if i % 3 == 0 else None if i % 31 == 1 else f"k{i % 13}", i, None if i % 5 == 0 else f"p{i % 4}") for i in range(90)]
+    got = machines.reservations(spark.createDataFrame(data, "ns_key string, seq long, fingerprint string"))
+    first = {}
+    for k, i, p in data:
+        first.setdefault(k, (i, p))
+    assert rows(got, "ns_key", "seq", "winner_id", "outcome") == sorted(
+        [(k, i, first[k][0], "reserved" if i == first[k][0] else "replay" if p == first[k][1] else "reused") for k, i, p in data], key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and ("Generate" in plan) == (hot_rows == 10)  # only hot keys are copied
+
+
 def test_alerts_hold_across_midnight(spark):
     at = dt.datetime(2024, 1, 1, 23, 58)
     data = [(at + dt.timedelta(minutes=i), 1.0 if 1 <= i <= 5 else 0.0) for i in range(8) if i != 4]  # a minute without an evaluation

@@ -93,3 +93,12 @@ def test_wide_rows_are_not_broadcast(spark, monkeypatch):
     small = spark.createDataFrame([(1, "x" * 50)], "k long, v string")
     got = joins.lookup_join(spark.range(3).select(F.col("id").alias("k")), small, ["k"])
     assert "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 1
+
+
+@pytest.mark.parametrize("rows_of,hot_rows", [(None, 50), ("m", 50), ("m", 5)])
+def test_what_is_counted_too_large_is_not_broadcast(spark, monkeypatch, rows_of, hot_rows):
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit(10).alias("m"))  # far below Spark's own threshold
+    got = joins.lookup_join(spark.range(200).select((F.col("id") % 20).alias("k"), "id"), small, ["k"], salt_by="id", limit=0, rows_of=rows_of)
+    assert rows(got, "id", "v") == sorted([(i, i % 20 * 2) for i in range(200)], key=repr)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
